@@ -50,7 +50,7 @@ def file_day(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """A number in plain notation without final zeros after the point; any other text as it is."""
-    return F.when(c.rlike(r"^-?[0-9]+\.[0-9]*$"), F.regexp_replace(c, r"\.?0*$", "")).otherwise(c)
+    return F.when(c.rlike(r"^-?[0-9]+\.[0-9]+$"), F.regexp_replace(c, r"\.?0*$", "")).otherwise(c)
 
 
 def clean_string(c: Column) -> Column:

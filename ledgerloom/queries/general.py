@@ -159,7 +159,7 @@ SELECT abn, a AS status, b AS status_date, c AS main_name, f.day AS valid_from,
 last AS (SELECT abn, first, max(pos) AS last, count(*) OVER (PARTITION BY abn) n FROM w GROUP BY abn, first)
 SELECT abn, f.day AS valid_from, l.nxt AS valid_to FROM last JOIN days f ON f.pos = first JOIN days l ON l.pos = last WHERE n > 1""",
     "p2_found": f"""WITH r AS (SELECT {_DAY} AS delivery, {_present("cnid")} AS k, {", ".join(f"{_present(c)} AS {c}" for c in CONTENT_COLUMNS)} FROM raw_contract_data),
-c AS (SELECT DISTINCT delivery, {_KEY} AS cnid, {", ".join("CASE WHEN regexp_matches(value, '^-?[0-9]+[.][0-9]*$') THEN regexp_replace(value, '[.]?0*$', '') ELSE value END AS value" if c == "value" else c for c in CONTENT_COLUMNS)} FROM r WHERE k IS NOT NULL),
+c AS (SELECT DISTINCT delivery, {_KEY} AS cnid, {", ".join("CASE WHEN regexp_matches(value, '^-?[0-9]+[.][0-9]+$') THEN regexp_replace(value, '[.]?0*$', '') ELSE value END AS value" if c == "value" else c for c in CONTENT_COLUMNS)} FROM r WHERE k IS NOT NULL),
 d AS (SELECT delivery, lead(delivery) OVER (ORDER BY delivery) AS nxt FROM (SELECT DISTINCT delivery FROM c)),
 k AS (SELECT delivery, cnid, list_sort(list(md5(concat_ws('|', {", ".join(f"coalesce('t' || {c}, 'n')" for c in CONTENT_COLUMNS)})))) AS content FROM c GROUP BY ALL),
 p AS (SELECT nxt AS delivery, cnid, content FROM k JOIN d USING (delivery) WHERE nxt IS NOT NULL),
