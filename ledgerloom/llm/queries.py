@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import file_day, notice_key, plain_number, present
 from ledgerloom.llm.encoding import encode_corpus
-from ledgerloom.llm.fusion import best_rows, fuse
+from ledgerloom.llm.fusion import best_rows, duplicates, fuse
 from ledgerloom.session import materialize, table
 
 FIELDS = (
@@ -16,12 +16,16 @@ FIELDS = (
 )
 
 
-def _notice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with delivery, notice key, normalised fields and the chunk they came in as their source."""
-    raw = table(spark, sf_dir, "raw_contract_data")
+def _fields() -> dict:
     fields = {c: present(F.col(c)) for c in FIELDS}
     fields["value"] = plain_number(fields["value"])
-    return raw.select("row_id", "_loaded_at", F.col("_source_file").alias("source"), file_day(F.col("_source_file")).alias("delivery"), notice_key(F.col("cnid")).alias("cnid"), *[x.alias(c) for c, x in fields.items()])
+    return fields
+
+
+def _notice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows with delivery and notice key; the chunk they came in is their source."""
+    raw = table(spark, sf_dir, "raw_contract_data")
+    return raw.select("row_id", "_loaded_at", F.col("_source_file").alias("source"), file_day(F.col("_source_file")).alias("delivery"), notice_key(F.col("cnid")).alias("cnid"), *FIELDS)
 
 
 def _positive():
@@ -30,15 +34,14 @@ def _positive():
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = best_rows(_notice_rows(spark, sf_dir), ["delivery", "cnid"], FIELDS, "source", "row_id", "_loaded_at", _positive())
+    best = best_rows(_notice_rows(spark, sf_dir), ["delivery", "cnid"], _fields(), "source", "row_id", "_loaded_at", _positive())
     return best.select("delivery", "cnid", "row_id")
 
 
 def p5_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused value of every field of each duplicate group, with its posterior."""
-    rows = _notice_rows(spark, sf_dir).where("delivery is not null and cnid is not null")
-    many = rows.groupBy("delivery", "cnid").agg(F.count("*").alias("n")).where("n >= 2").select("delivery", "cnid")
-    rows = materialize(rows.join(many, ["delivery", "cnid"], "left_semi"), "duplicates")
+    rows = duplicates(_notice_rows(spark, sf_dir), ["delivery", "cnid"])
+    rows = materialize(rows.select("delivery", "cnid", "row_id", "source", *[c.alias(f) for f, c in _fields().items()]), "duplicates")
     _, winners, _ = fuse(rows, ["delivery", "cnid"], FIELDS, "source", "row_id")
     return winners.withColumn("confidence", F.round("confidence", 4))
 
