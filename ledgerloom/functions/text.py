@@ -16,7 +16,7 @@ CNID = r"^(?i)(?:CN)?\s*0*([0-9]+)\s*(?:-\s*A\s*0*([0-9]+))?$"
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind (Spark's trim removes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def present(c: Column) -> Column:
