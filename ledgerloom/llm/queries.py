@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import file_day, notice_key, plain_number, present
 from ledgerloom.llm.encoding import encode_corpus
 from ledgerloom.llm.fusion import best_rows, duplicates, fuse
+from ledgerloom.llm.variants import resolve_names, variant_pairs
 from ledgerloom.session import materialize, table
 
 FIELDS = (
@@ -46,11 +47,32 @@ def p5_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winners.withColumn("confidence", F.round("confidence", 4))
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All spellings with their origin, the official ones, and the payee texts that name no business."""
+    typed = table(spark, sf_dir, "raw_contract_data").select(present(F.col("suppliername")).alias("name"), F.lit(False).alias("official"))
+    official = table(spark, sf_dir, "raw_abr_entity").select(present(F.col("entity_name")).alias("name"), F.lit(True).alias("official"))
+    names = typed.unionByName(official).where("name is not null").groupBy("name").agg(F.bool_or("official").alias("official"), F.count("*").alias("n_rows"))
+    payees = table(spark, sf_dir, "known_non_suppliers").select("normalized_name").where("normalized_name is not null")
+    names = materialize(names, "spellings")
+    return names, names.where("official"), [r[0] for r in payees.collect()]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, official, payees = _spellings(spark, sf_dir)
+    return variant_pairs(resolve_names(spark, names, official, payees))
+
+
+def p7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the name it belongs to."""
+    names, official, payees = _spellings(spark, sf_dir)
+    return resolve_names(spark, names, official, payees).select("name", "name_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_fused, p8_ids)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_fused, p7_found, p7_names, p8_ids)}
 
 _P = lambda c: rf"CASE WHEN regexp_replace({c}, '^\s+|\s+$', '', 'g') IN ('', 'NULL', 'null') THEN NULL ELSE regexp_replace({c}, '^\s+|\s+$', '', 'g') END"
 _KEY = rf"""CASE WHEN regexp_matches(k, '^(?i)(?:CN)?\s*[0-9]+\s*(?:-\s*A\s*[0-9]+)?$')
