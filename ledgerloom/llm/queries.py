@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import file_day, notice_key, plain_number, present
+from ledgerloom.functions.text import digits, file_day, full_abn, notice_key, plain_number, present
 from ledgerloom.llm.encoding import encode_corpus
+from ledgerloom.llm.linkage import match
 from ledgerloom.llm.fusion import best_rows, duplicates, fuse
 from ledgerloom.llm.variants import resolve_names, variant_pairs
 from ledgerloom.session import materialize, table
@@ -68,11 +69,70 @@ def p7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_names(spark, names, official, payees).select("name", "name_id")
 
 
+#: What descriptions say of a supplier's place: a state, a postcode, or both in either order.
+_STATES = r"NSW|VIC|QLD|WA|SA|TAS|ACT|NT"
+_PLACE = rf"(?:({_STATES}) ([0-9]{{4}})|(?:, |postcode |from )([0-9]{{4}})(?: ({_STATES}))?)(?![0-9])"
+
+
+def account_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs of accounts and register entities with their evidence, the full numbers that accounts state)."""
+    raw = table(spark, sf_dir, "raw_contract_data")
+    found = lambda i: F.nullif(F.regexp_extract("description", _PLACE, i), F.lit(""))
+    rows = raw.select(
+        present(F.col("supplierid")).alias("record"), present(F.col("suppliername")).alias("name"), F.nullif(digits(F.col("supplierabn")), F.lit("")).alias("stated"),
+        F.coalesce(found(1), found(4)).alias("state"), F.coalesce(found(2), found(3)).alias("postcode"),
+    ).where("record is not null")
+    rows = materialize(rows.groupBy("record", "name", "stated", "state", "postcode").agg(F.count("*").alias("n")), "accounts")
+    register = table(spark, sf_dir, "raw_abr_entity").select(full_abn(F.col("abn")).alias("entity"), present(F.col("entity_name")).alias("name"), F.upper(present(F.col("state"))).alias("state"), present(F.col("postcode")).alias("postcode"), F.upper(present(F.col("name_type"))).alias("kind")).where("entity is not null")
+    register = materialize(register.distinct(), "register")
+    resolved = materialize(resolve_names(spark, *_spellings(spark, sf_dir)).select("name", "name_id"), "resolved")
+
+    # names: the share of an account's rows whose name is one of the entity's
+    named = rows.where("name is not null").groupBy("record", "name").agg(F.sum("n").alias("n")).join(resolved, "name").groupBy("record", "name_id").agg(F.sum("n").alias("n"))
+    total = named.groupBy("record").agg(F.sum("n").alias("total"), F.max_by("name_id", F.struct("n", "name_id")).alias("cluster"))
+    # a main name says more than a trading name, which may have passed on
+    owners = register.where("name is not null").join(resolved, "name").groupBy("entity", "name_id").agg(F.max(F.when(F.col("kind") == "MAIN", 1.0).otherwise(0.9)).alias("weight"))
+    by_name = named.join(owners, "name_id").groupBy("record", "entity").agg((F.sum(F.col("n") * F.col("weight"))).alias("hit")).join(total, "record").select("record", "entity", F.least(F.lit(1.0), F.col("hit") / F.col("total")).alias("name"))
+
+    # identifiers cut at the front or the back: six digits or more, the more the better
+    entities = register.select("entity").distinct()
+    parts = rows.where(F.length("stated").between(6, 10)).select("record", "stated").distinct()
+    sizes = F.explode(F.sequence(F.lit(6), F.lit(10)))
+    ends = entities.select("entity", sizes.alias("k")).select("entity", F.explode(F.array(F.expr("right(entity, k)"), F.expr("left(entity, k)"))).alias("stated")).distinct()
+    holders = ends.groupBy("stated").agg(F.count("*").alias("holders"))
+    by_part = parts.join(ends, "stated").join(holders, "stated").groupBy("record", "entity").agg(F.max(F.least(F.lit(1.0), F.length("stated") / F.lit(10.0)) / F.col("holders")).alias("identifier"))
+
+    pairs = by_name.join(by_part, ["record", "entity"], "full")
+    places = rows.where("state is not null or postcode is not null").groupBy("record", "state", "postcode").agg(F.sum("n").alias("n"))
+    homes = register.select("entity", F.col("state").alias("home_state"), F.col("postcode").alias("home_code")).where("home_state is not null or home_code is not null").distinct()
+    fit = F.when(F.col("postcode").isNotNull() & F.col("home_code").isNotNull(), F.when(F.col("postcode") == F.col("home_code"), 1.0).otherwise(0.0)).when(F.col("state") == F.col("home_state"), 0.3).otherwise(0.0)
+    seen = pairs.select("record", "entity").join(places, "record").join(homes, "entity").groupBy("record", "entity", "state", "postcode", "n").agg(F.max(fit).alias("fit"))
+    by_place = seen.groupBy("record", "entity").agg((F.sum(F.col("n") * F.col("fit")) / F.sum("n")).alias("fits"), (F.sum(F.col("n") * (F.col("fit") == 0).cast("int")) / F.sum("n")).alias("misfits"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    candidates = pairs.join(by_place, ["record", "entity"], "left").join(total.select("record", "cluster"), "record", "left").select("record", "entity", "cluster", zero("name"), zero("identifier"), zero("fits"), zero("misfits"))
+    stated = rows.where(F.length("stated") == 11).select("record", F.col("stated").alias("entity")).distinct()
+    return candidates, stated
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most likely entity of every account, with its confidence; also where the account states the number itself."""
+    candidates, _ = account_candidates(spark, sf_dir)
+    best = match(candidates).groupBy("record").agg(F.max(F.struct("confidence", "entity")).alias("b"))
+    return best.where("b.confidence > 0.5").select(F.col("record").alias("supplierid"), F.col("b.entity").alias("abn"), F.round("b.confidence", 3).alias("confidence"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, stated = account_candidates(spark, sf_dir)
+    best = match(candidates).groupBy("record").agg(F.max(F.struct("confidence", "entity")).alias("b")).where("b.confidence > 0.5")
+    found = best.select("record", F.col("b.entity").alias("entity")).join(stated, ["record", "entity"], "left_anti")
+    return found.select(F.col("record").alias("supplierid"), F.col("entity").alias("abn"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_fused, p7_found, p7_names, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_fused, p7_found, p7_names, p8_ids)}
 
 _P = lambda c: rf"CASE WHEN regexp_replace({c}, '^\s+|\s+$', '', 'g') IN ('', 'NULL', 'null') THEN NULL ELSE regexp_replace({c}, '^\s+|\s+$', '', 'g') END"
 _KEY = rf"""CASE WHEN regexp_matches(k, '^(?i)(?:CN)?\s*[0-9]+\s*(?:-\s*A\s*[0-9]+)?$')
