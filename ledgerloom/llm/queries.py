@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import digits, file_day, full_abn, notice_key, plain_number, present
 from ledgerloom.llm.encoding import encode_corpus
-from ledgerloom.llm.linkage import match
 from ledgerloom.llm.fusion import best_rows, duplicates, fuse
+from ledgerloom.llm.leaks import find_leaks
+from ledgerloom.llm.linkage import match
 from ledgerloom.llm.variants import resolve_names, variant_pairs
 from ledgerloom.session import materialize, table
 
@@ -132,7 +133,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_fused, p7_found, p7_names, p8_ids)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: how many documents hold a part of it, and the longest part."""
+    return _leaks(spark, sf_dir).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_documents"), F.max("span").cast("bigint").alias("longest_span"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_fused, p7_found, p7_names, p8_ids, p9_found, p9_report)}
 
 _P = lambda c: rf"CASE WHEN regexp_replace({c}, '^\s+|\s+$', '', 'g') IN ('', 'NULL', 'null') THEN NULL ELSE regexp_replace({c}, '^\s+|\s+$', '', 'g') END"
 _KEY = rf"""CASE WHEN regexp_matches(k, '^(?i)(?:CN)?\s*[0-9]+\s*(?:-\s*A\s*[0-9]+)?$')
