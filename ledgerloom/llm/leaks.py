@@ -184,50 +184,52 @@ def _project(windows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[n
     return latent, np.maximum(length, 1e-9)
 
 
-def latent_space(found: DataFrame, items: Items, idf: np.ndarray, rank: int = 1024, rounds: int = 3, block: int = 512, seed: int = 11) -> np.ndarray:
-    """An orthonormal basis (words x rank) of the strongest directions of all windows, by randomised subspace iteration."""
-    size = len(idf)
+def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int, rounds: int = 3, block: int = 64, seed: int = 11) -> np.ndarray:
+    """An orthonormal basis (words x rank) of the strongest directions of all windows, by randomised subspace iteration.
+
+    ``found`` gives its windows side by side, the items theirs every STRIDE words and
+    weigh four times as much in all, so that what only one of them has keeps its direction in a large corpus.  Tasks send the words they touched.
+    """
+    spark = found.sparkSession
+    size = len(weight)
     rank = min(rank, size)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0]
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0].astype(np.float32)
     own = np.concatenate([_windows(w) for w in items.words])
-    # both sides weigh alike, so that what only one evaluation passage has keeps its direction in a large corpus
-    corpus = found.agg(F.sum(F.ceil((F.size("words") - WINDOW) / STRIDE) + 1)).first()[0] or 0
-    emphasis = max(1.0, corpus / len(own))
+    corpus = int(found.agg(F.sum(F.ceil(F.size("words") / WINDOW))).first()[0] or 0)
+    emphasis = 4 * max(1.0, corpus / len(own))
+    found = found.select("words").repartition(max(1, corpus // 10_000))
 
-    def product(windows: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        """A'A times the basis, for the windows as rows of A."""
-        out = np.zeros((size, basis.shape[1]))
+    def product(windows: Iterator[np.ndarray], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A'A times the basis, for the windows as rows of A, and which words they touch."""
+        out, touched = np.zeros((size, basis.shape[1]), np.float32), np.zeros(size, bool)
         for row in windows:
-            x = idf[row]
+            x = weight[row]
             heavy = x > 0
-            row, x = row[heavy], x[heavy]
-            words, at = np.unique(row, return_inverse=True)
-            x = np.bincount(at, x)
+            words, at = np.unique(row[heavy], return_inverse=True)
+            x = np.bincount(at, x[heavy]).astype(np.float32)
             out[words] += x[:, None] * (x @ basis[words])
-        return out
+            touched[words] = True
+        return out, touched
 
     for _ in range(rounds):
-        fixed = basis
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            total, any_row = np.zeros((size, fixed.shape[1])), False
-            for b in batches:
-                ws = [np.asarray(w, np.int32) for w in b["words"]]
-                if ws:
-                    any_row = True
-                    total += product(np.concatenate([_windows(w) for w in ws]), fixed)
-            if any_row:
-                cut = range(0, size, block)
-                yield pd.DataFrame({"block": [i // block for i in cut], "x": [total[i : i + block].ravel() for i in cut]})
-
-        def add(_, parts: pd.DataFrame) -> pd.DataFrame:
+        sent = spark.sparkContext.broadcast(basis)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            side_by_side = (np.asarray(w[i : i + WINDOW], np.int32) for b in batches for w in b["words"] for i in range(0, len(w), WINDOW))
+            out, touched = product(side_by_side, sent.value)
+            hit = np.unique(np.flatnonzero(touched) // block)
+            if len(hit):
+                yield pd.DataFrame({"block": hit, "x": [out[i * block : (i + 1) * block].ravel() for i in hit]})
+
+        def add(parts: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": parts["block"].iloc[:1], "x": [np.sum(np.stack(parts["x"].to_numpy()), 0)]})
 
-        sums = found.select("words").mapInPandas(run, "block int, x array<double>").groupBy("block").applyInPandas(lambda p: add(None, p), "block int, x array<double>")
-        z = emphasis * product(own, basis)
-        for i, x in sums.collect():
-            z[i * block : i * block + len(x) // rank] += np.array(x).reshape(-1, rank)
-        basis = np.linalg.qr(z)[0]
+        sums = found.mapInPandas(run, "block int, x array<float>").groupBy("block").applyInPandas(add, "block int, x array<float>").collect()
+        z = emphasis * product(own, basis)[0]
+        for i, x in sums:
+            z[i * block : i * block + len(x) // rank] += np.array(x, np.float32).reshape(-1, rank)
+        basis = np.linalg.qr(z)[0].astype(np.float32)
+        sent.destroy()
     return basis
 
 
@@ -302,7 +304,7 @@ def leaked_span(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, altered:
     return best
 
 
-def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame, item_key: str, item_text: str, *, cosine: float = 0.45, least: int = WINDOW, altered: int = 3, rank: int | None = None, checked: bool = True) -> DataFrame:
+def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame, item_key: str, item_text: str, *, cosine: float = 0.4, least: int = WINDOW, altered: int = 3, rank: int | None = None, checked: bool = True) -> DataFrame:
     """(key, item, cosine, span): the leaks, or with checked=False all candidates with their span."""
     items = Items.read(item_table, item_key, item_text)
     spark = documents.sparkSession
@@ -320,16 +322,17 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
     found = materialize(stretches(read, idf, cosine), "stretches")
     space = idf.copy()
     space[0] = 0
-    # one direction for every 24 words of the items: their windows then lie in the space nearly whole
-    rank = rank or min(4096, max(64, sum(map(len, items.words)) // 24))
+    # one direction for every 36 words of the items: their windows then lie in the space nearly whole
+    rank = rank or min(4096, max(64, sum(map(len, items.words)) // 36))
     basis = latent_space(found, items, space, rank)
     own = [_windows(w) for w in items.words]
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
     q, q_length = _project(np.concatenate(own), idf, basis)
-    q = (q / q_length[:, None]).astype(np.float32)
     begins = np.searchsorted(owner, np.arange(len(own)))
+    sent = spark.sparkContext.broadcast((items.words, items.ids, idf, basis, (q / q_length[:, None]).astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, ids, idf, basis, q = sent.value
         for b in batches:
             out = []
             for k, w in zip(b["key"], b["words"]):
@@ -338,10 +341,12 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
                 near = (p / length[:, None]).astype(np.float32) @ q.T
                 best = np.maximum.reduceat(near.max(0), begins)
                 for i in np.flatnonzero(best >= cosine):
-                    span = leaked_span(w, items.words[i], least, altered)
+                    span = leaked_span(w, words[i], least, altered)
                     if span >= least or not checked:
-                        out.append((k, items.ids[i], float(best[i]), span))
+                        out.append((k, ids[i], float(best[i]), span))
             yield pd.DataFrame(out, columns=["key", "item", "cosine", "span"])
 
     hits = found.repartition(F.hash("key", "at")).mapInPandas(run, schema)
-    return hits.groupBy("key", "item").agg(F.max("cosine").alias("cosine"), F.max("span").alias("span"))
+    hits = materialize(hits.groupBy("key", "item").agg(F.max("cosine").alias("cosine"), F.max("span").alias("span")), "leaks")
+    sent.destroy()
+    return hits

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import digits, file_day, full_abn, notice_key, plain_number, present
 from ledgerloom.llm.encoding import encode_corpus
 from ledgerloom.llm.fusion import best_rows, duplicates, fuse
+from ledgerloom.llm.languages import NOTATIONS, label_corpus
 from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.linkage import match
 from ledgerloom.llm.variants import resolve_names, variant_pairs
@@ -146,7 +147,27 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_documents"), F.max("span").cast("bigint").alias("longest_span"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_fused, p7_found, p7_names, p8_ids, p9_found, p9_report)}
+def _code_of_label():
+    """The two-letter code that a label names, or null."""
+    codes = F.create_map(*[F.lit(x) for code, names in NOTATIONS.items() for n in [code, *names.split()] for x in (n, code)])
+    s = F.lower(F.trim("label"))
+    return F.coalesce(F.try_element_at(codes, s), F.try_element_at(codes, F.split(s, "[-_]").getItem(0)))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = label_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    of = rows.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("lang"))).alias("main"), F.first(_code_of_label(), ignorenulls=True).alias("code"), F.collect_set("lang").alias("langs"))
+    wanted = of.where(~F.col("code").eqNullSafe(F.col("main")) | (F.size("langs") > 1))
+    return wanted.select(F.col("key").alias("doc_id"), F.explode("langs").alias("lang"))
+
+
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage with its place, language and confidence."""
+    rows = label_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").where("not main")
+    return rows.select(F.col("key").alias("doc_id"), "begin", "end", "n_sentences", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_fused, p7_found, p7_names, p8_ids, p9_found, p9_report, p10_found, p10_passages)}
 
 _P = lambda c: rf"CASE WHEN regexp_replace({c}, '^\s+|\s+$', '', 'g') IN ('', 'NULL', 'null') THEN NULL ELSE regexp_replace({c}, '^\s+|\s+$', '', 'g') END"
 _KEY = rf"""CASE WHEN regexp_matches(k, '^(?i)(?:CN)?\s*[0-9]+\s*(?:-\s*A\s*[0-9]+)?$')
