@@ -72,7 +72,7 @@ def normalize_name(c: Column) -> Column:
 
 def surrogate_key(*cols: Column) -> Column:
     """md5 over the values; null has a text of its own, so that it differs from the empty text."""
-    return F.md5(F.concat_ws("-", *[F.coalesce(c.cast("string"), F.lit("\u0000null")) for c in cols]))
+    return F.md5(F.concat_ws("-", *[F.coalesce(c.cast("string"), F.lit("~null~")) for c in cols]))
 
 
 def mask_abn(c: Column) -> Column:
