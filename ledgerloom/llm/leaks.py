@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialize
 
-WINDOW, STRIDE = 40, 5
+WINDOW, STRIDE = 40, 10
 #: A word weighs from one document in COMMON on, and no more than one in RARE; fewer documents than RARE count as RARE.
 COMMON, RARE = 50, 1000
 MAX_ITEM_WORDS = 20_000_000
@@ -169,22 +170,24 @@ def _windows(stretch: np.ndarray) -> np.ndarray:
     return np.stack([stretch[a : a + WINDOW] for a in starts(len(stretch))])
 
 
-def _project(windows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent coordinates and the full length of each window's TF-IDF vector, strange words included."""
-    weight = idf[windows]
-    latent = np.empty((len(windows), basis.shape[1]))
-    length = np.empty(len(windows))
-    for i, (row, x) in enumerate(zip(windows, weight)):
-        heavy = x > 0
-        row, x = row[heavy], x[heavy]
-        latent[i] = x @ basis[row]
-        strange = row == 0
-        # strange words are all different; a known word weighs with its frequency
-        length[i] = np.sqrt((np.bincount(row[~strange], x[~strange]) ** 2).sum() + (x[strange] ** 2).sum())
-    return latent, np.maximum(length, 1e-9)
+def _project(stretch: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Latent coordinates of each window over the length of its TF-IDF vector, strange words included.
 
+    Running sums over the stretch give all windows at once.
+    """
+    if len(stretch) < WINDOW:
+        stretch = np.concatenate([stretch, np.zeros(WINDOW - len(stretch), np.int32)])
+    a = np.array(starts(len(stretch)))
+    x = weight[stretch].astype(np.float32)
+    heavy = np.flatnonzero((x > 0) & (stretch > 0))
+    sums = np.zeros((len(heavy) + 1, basis.shape[1]), np.float32)
+    np.cumsum(x[heavy, None] * basis[stretch[heavy]], axis=0, out=sums[1:])
+    latent = sums[np.searchsorted(heavy, a + WINDOW)] - sums[np.searchsorted(heavy, a)]
+    mass = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])
+    return latent / np.sqrt(np.maximum(mass[a + WINDOW] - mass[a], 1e-12))[:, None].astype(np.float32)
 
-def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int, rounds: int = 3, block: int = 64, seed: int = 11) -> np.ndarray:
+
+def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int, rounds: int = 2, block: int = 64, seed: int = 11) -> np.ndarray:
     """An orthonormal basis (words x rank) of the strongest directions of all windows, by randomised subspace iteration.
 
     ``found`` gives its windows side by side, the items theirs every STRIDE words and
@@ -197,18 +200,27 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
     own = np.concatenate([_windows(w) for w in items.words])
     corpus = int(found.agg(F.sum(F.ceil(F.size("words") / WINDOW))).first()[0] or 0)
     emphasis = 4 * max(1.0, corpus / len(own))
-    found = found.select("words").repartition(max(1, corpus // 10_000))
+    found = found.select("words").repartition(max(1, corpus // 40_000))
 
     def product(windows: Iterator[np.ndarray], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A'A times the basis, for the windows as rows of A, and which words they touch."""
         out, touched = np.zeros((size, basis.shape[1]), np.float32), np.zeros(size, bool)
-        for row in windows:
-            x = weight[row]
-            heavy = x > 0
-            words, at = np.unique(row[heavy], return_inverse=True)
-            x = np.bincount(at, x[heavy]).astype(np.float32)
-            out[words] += x[:, None] * (x @ basis[words])
-            touched[words] = True
+        while some := list(islice(windows, 1000)):
+            words = np.concatenate(some)
+            row = np.repeat(np.arange(len(some)), [len(w) for w in some])
+            heavy = weight[words] > 0
+            words, row = words[heavy], row[heavy]
+            if not len(words):
+                continue
+            x = weight[words].astype(np.float32)[:, None]
+            rows, first = np.unique(row, return_index=True)
+            y = np.add.reduceat(x * basis[words], first, axis=0)
+            order = np.argsort(words, kind="stable")
+            hit, first = np.unique(words[order], return_index=True)
+            back = y[np.searchsorted(rows, row[order])]
+            back *= x[order]
+            out[hit] += np.add.reduceat(back, first, axis=0)
+            touched[hit] = True
         return out, touched
 
     for _ in range(rounds):
@@ -225,7 +237,7 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
             return pd.DataFrame({"block": parts["block"].iloc[:1], "x": [np.sum(np.stack(parts["x"].to_numpy()), 0)]})
 
         sums = found.mapInPandas(run, "block int, x array<float>").groupBy("block").applyInPandas(add, "block int, x array<float>").collect()
-        z = emphasis * product(own, basis)[0]
+        z = emphasis * product(iter(own), basis)[0]
         for i, x in sums:
             z[i * block : i * block + len(x) // rank] += np.array(x, np.float32).reshape(-1, rank)
         basis = np.linalg.qr(z)[0].astype(np.float32)
@@ -304,7 +316,7 @@ def leaked_span(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, altered:
     return best
 
 
-def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame, item_key: str, item_text: str, *, cosine: float = 0.4, least: int = WINDOW, altered: int = 3, rank: int | None = None, checked: bool = True) -> DataFrame:
+def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame, item_key: str, item_text: str, *, cosine: float = 0.5, least: int = WINDOW, altered: int = 3, rank: int | None = None, checked: bool = True) -> DataFrame:
     """(key, item, cosine, span): the leaks, or with checked=False all candidates with their span."""
     items = Items.read(item_table, item_key, item_text)
     spark = documents.sparkSession
@@ -327,24 +339,31 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
     basis = latent_space(found, items, space, rank)
     own = [_windows(w) for w in items.words]
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    q, q_length = _project(np.concatenate(own), idf, basis)
+    q = np.concatenate([_project(w, idf, basis) for w in items.words])
     begins = np.searchsorted(owner, np.arange(len(own)))
-    sent = spark.sparkContext.broadcast((items.words, items.ids, idf, basis, (q / q_length[:, None]).astype(np.float32)))
+    sent = spark.sparkContext.broadcast((items.words, items.ids, idf, basis, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, ids, idf, basis, q = sent.value
         for b in batches:
-            out = []
-            for k, w in zip(b["key"], b["words"]):
-                w = np.asarray(w, np.int32)
-                p, length = _project(_windows(w), idf, basis)
-                near = (p / length[:, None]).astype(np.float32) @ q.T
-                best = np.maximum.reduceat(near.max(0), begins)
-                for i in np.flatnonzero(best >= cosine):
-                    span = leaked_span(w, words[i], least, altered)
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                texts = [np.asarray(w, np.int32) for w in part["words"]]
+                p = [_project(w, idf, basis) for w in texts]
+                of = np.repeat(np.arange(len(p)), [len(x) for x in p])
+                p = np.concatenate(p)
+                # no item can be nearer than the part of the window that lies in the space
+                room = np.einsum("nr,nr->n", p, p) >= cosine**2
+                best = np.zeros((len(texts), len(ids)), np.float32)
+                if room.any():
+                    near = np.maximum.reduceat(p[room] @ q.T, begins, axis=1)
+                    np.maximum.at(best, of[room], near)
+                out = []
+                for t, i in np.argwhere(best >= cosine):
+                    span = leaked_span(texts[t], words[i], least, altered)
                     if span >= least or not checked:
-                        out.append((k, ids[i], float(best[i]), span))
-            yield pd.DataFrame(out, columns=["key", "item", "cosine", "span"])
+                        out.append((part["key"].iloc[t], ids[i], float(best[t, i]), span))
+                yield pd.DataFrame(out, columns=["key", "item", "cosine", "span"])
 
     hits = found.repartition(F.hash("key", "at")).mapInPandas(run, schema)
     hits = materialize(hits.groupBy("key", "item").agg(F.max("cosine").alias("cosine"), F.max("span").alias("span")), "leaks")
