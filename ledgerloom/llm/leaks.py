@@ -123,7 +123,31 @@ def weights(counts: np.ndarray) -> np.ndarray:
     total = max(int(counts[0]), RARE)
     df = np.maximum(counts, 1).astype(float)
     df[0] = 1
-    return np.clip(np.log(total / df), np.log(COMMON), np.log(RARE)) - np.log(COMMON)
+    out = np.clip(np.log(total / df), np.log(COMMON), np.log(RARE)) - np.log(COMMON)
+    # nobody knows how rare a strange word is: it counts like the items' own words that count at all
+    some = out[1:][out[1:] > 0]
+    out[0] = np.median(some) if len(some) else out[0]
+    return out
+
+
+def with_hot_leaks(weight: np.ndarray, counts: np.ndarray, items: Items, few: int = 6) -> np.ndarray:
+    """The weights, raised where an item would be lost by them.
+
+    A passage that leaks into a great part of the corpus makes its own words common.  A window of an item that has
+    no rare word left gives the full weight back to the ``few`` rarest of its words that hardly any other item has.
+    """
+    full = np.log(RARE / COMMON)
+    seen = np.zeros(len(weight))
+    for w in items.words:
+        seen[np.unique(w)] += 1
+    own = seen <= max(1, 0.02 * len(items.words))
+    out = weight.copy()
+    for w in items.words:
+        for row in _windows(w):
+            if weight[row[row > 0]].max(initial=0) < 0.4 * full:
+                row = np.unique(row[(row > 0) & own[row]])
+                out[row[np.argsort(counts[row], kind="stable")[:few]]] = full
+    return out
 
 
 def stretches(read: DataFrame, weight: np.ndarray, cosine: float) -> DataFrame:
@@ -330,12 +354,12 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
     counts = np.zeros(len(items.vocabulary) + 1)
     for w, n in counted:
         counts[w] = n
-    idf = weights(counts)
+    idf = with_hot_leaks(weights(counts), counts, items)
     found = materialize(stretches(read, idf, cosine), "stretches")
     space = idf.copy()
     space[0] = 0
     # one direction for every 36 words of the items: their windows then lie in the space nearly whole
-    rank = rank or min(4096, max(64, sum(map(len, items.words)) // 36))
+    rank = rank or min(4096, max(256, sum(map(len, items.words)) // 36))
     basis = latent_space(found, items, space, rank)
     own = [_windows(w) for w in items.words]
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own])

@@ -59,6 +59,13 @@ def test_leaks_are_found_and_near_misses_are_not(spark):
     assert set(found(spark, docs, items)) == want
 
 
+def test_a_passage_that_a_third_of_all_documents_hold(spark):
+    r = random.Random(10)
+    items = [" ".join(passage(100, r)) for _ in range(8)]
+    docs = [" ".join(passage(80, r) + (items[3].split()[10:80] if i % 3 == 0 else []) + passage(80, r)) for i in range(1500)]
+    assert set(found(spark, docs, items)) == {(i, 3) for i in range(0, 1500, 3)}
+
+
 def test_empty_tables(spark):
     assert found(spark, [], ["a b c"]) == {}
     assert found(spark, ["a b c"], []) == {}
