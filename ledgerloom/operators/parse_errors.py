@@ -101,7 +101,7 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
             relax(new, QUOTED, cost[QUOTED], QUOTED, 0)
             for s in (START, BARE, CLOSED):
                 relax(new, START, cost[s], s, 0, shift=1)
-                relax(new, s, cost[s] + 1, s, 1)
+                relax(new, START, cost[s] + 1, s, 1)  # joins two cells, whichever way the second is quoted
             relax(new, START, cost[QUOTED] + QUOTE_COST, QUOTED, 3, shift=1)
         else:
             relax(new, BARE, cost[START], START, 0)
