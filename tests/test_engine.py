@@ -290,3 +290,24 @@ def test_checks_fire(spark):
 def test_text_helpers(spark):
     df = spark.createDataFrame([(" a ", "5-A12"), ("  ", "5")], "x string, c string")
     assert [(r[0], r[1]) for r in df.select(clean_string(F.col("x")), amendment_no(F.col("c"))).collect()] == [("a", 12), (None, 0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ledgerloom.__main__ import main
+
+    line = lambda i: ",".join({"cnid": str(i), "value": "5", "publishdate": "2024-01-02"}.get(c, c) for c in COLUMNS)
+    csv = tmp_path / "notices_full_20240101_c1.csv"
+    csv.write_text(",".join(COLUMNS) + "\n" + line(1) + "\n" + line(2) + "\n")
+    out = f"file://{tmp_path}/out"
+    assert main(["build", "--out", out, "--skip-models"]) == 0 and main(["build", "--out", out]) == 1
+    assert main(["build", "--out", out, "--contracts", str(csv)]) == 0
+    csv.write_text(",".join(COLUMNS) + "\n" + line(2) + "\n")
+    assert main(["build", "--out", out, "--contracts", str(csv), "--mode", "delta"]) == 0
+    assert [r.contract_id for r in SnapshotStore(spark, f"{out}/gold/fct_contracts").read().collect()] == ["2"]
+    capsys.readouterr()
+    assert main(["lineage"]) == 0
+    text = tmp_path / "lineage.mmd"
+    text.write_text(capsys.readouterr().out)
+    assert main(["lineage", "--check", str(text)]) == 0
+    text.write_text("flowchart LR")
+    assert main(["lineage", "--check", str(text)]) == 1
