@@ -20,8 +20,11 @@ class AmbiguousMerge(ValueError):
 
 
 def _pairs(target: DataFrame, source: DataFrame, key: str, columns: Sequence[str], stamp: str) -> DataFrame:
+    """Both sides by key.  Rows without a key match nothing: they stay out of the join, where they would all meet in one task."""
     side = lambda d, n: d.select(F.col(key).alias("_k" + n), F.struct(*[F.col(c) for c in columns]).alias("_c" + n), F.col(stamp).alias("_s" + n), F.lit(True).alias("_in" + n))
-    return side(target, "t").join(side(source.withColumn(stamp, F.lit(None)) if stamp not in source.columns else source, "s"), F.col("_kt") == F.col("_ks"), "full_outer")
+    t, s = side(target, "t"), side(source if stamp in source.columns else source.withColumn(stamp, F.lit(None)), "s")
+    both = t.where("_kt is not null").join(s.where("_ks is not null"), F.col("_kt") == F.col("_ks"), "full_outer")
+    return both.unionByName(t.where("_kt is null"), allowMissingColumns=True).unionByName(s.where("_ks is null"), allowMissingColumns=True)
 
 
 def merge(target: DataFrame, source: DataFrame, key: str, columns: Sequence[str], stamp: str, load_ts: Column, *, prune: bool = False, actions: bool = False, check: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import amendment_no, base_contract_id, normalize_name, surrogate_key
@@ -65,16 +65,19 @@ def with_chain(silver: DataFrame) -> DataFrame:
 def fct_contracts(silver: DataFrame) -> DataFrame:
     """One row a contract: its highest amendment, stamped with the latest load of the whole chain.
 
-    Both windows share one shuffle.  The chain's latest load must see all versions, so it is worked out before
-    the losers go; a late amendment that loses still moves it.
+    One aggregation, combined on the map side, so a chain with very many notices reaches its task as a few rows.
+    The chain's latest load covers all versions: a late amendment that loses still moves it.  An unknown load
+    time counts as the latest.
     """
-    chain = Window.partitionBy("base_id")
-    order = chain.orderBy(F.desc("amendment_no"), F.desc_nulls_first("loaded_at"), F.desc("contract_id"))
-    rows = with_chain(silver).withColumns({"chain_loaded_at": F.max("loaded_at").over(chain), "_n": F.row_number().over(order)}).where("_n = 1")
+    payload = ("agency_name", "agency_abn", "supplier_name", "supplier_abn", "category_name", "category_unspsc", "contract_value", "duration_days", "procurement_method", "publish_date", "contract_start_date", "contract_end_date")
+    version = F.struct("amendment_no", F.col("loaded_at").isNull().alias("_u"), "loaded_at", "contract_id", *payload)
+    rows = with_chain(silver).groupBy("base_id").agg(F.max(version).alias("v"), F.max("loaded_at").alias("chain_loaded_at"))
+    v = {c: F.col(f"v.{c}") for c in payload}
     return rows.select(
-        F.col("base_id").alias("contract_id"), F.col("contract_id").alias("source_notice_id"), "amendment_no",
-        surrogate_key(F.col("supplier_name"), F.col("supplier_abn")).alias("supplier_key"), surrogate_key(F.col("agency_name"), F.col("agency_abn")).alias("agency_key"), surrogate_key(F.col("category_name"), F.col("category_unspsc")).alias("category_key"),
-        F.date_format("publish_date", "yyyyMMdd").cast("int").alias("publish_date_key"), "contract_value", "duration_days", "procurement_method", "publish_date", "contract_start_date", "contract_end_date", F.col("chain_loaded_at").alias("loaded_at"),
+        F.col("base_id").alias("contract_id"), F.col("v.contract_id").alias("source_notice_id"), "v.amendment_no",
+        surrogate_key(v["supplier_name"], v["supplier_abn"]).alias("supplier_key"), surrogate_key(v["agency_name"], v["agency_abn"]).alias("agency_key"), surrogate_key(v["category_name"], v["category_unspsc"]).alias("category_key"),
+        F.date_format(v["publish_date"], "yyyyMMdd").cast("int").alias("publish_date_key"), *[v[c].alias(c) for c in ("contract_value", "duration_days", "procurement_method", "publish_date", "contract_start_date", "contract_end_date")],
+        F.col("chain_loaded_at").alias("loaded_at"),
     )
 
 
