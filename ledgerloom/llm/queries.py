@@ -91,6 +91,7 @@ def account_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
     # names: the share of an account's rows whose name is one of the entity's
     named = rows.where("name is not null").groupBy("record", "name").agg(F.sum("n").alias("n")).join(resolved, "name").groupBy("record", "name_id").agg(F.sum("n").alias("n"))
+    named = materialize(named, "named")
     total = named.groupBy("record").agg(F.sum("n").alias("total"), F.max_by("name_id", F.struct("n", "name_id")).alias("cluster"))
     # a main name says more than a trading name, which may have passed on
     owners = register.where("name is not null").join(resolved, "name").groupBy("entity", "name_id").agg(F.max(F.when(F.col("kind") == "MAIN", 1.0).otherwise(0.9)).alias("weight"))
@@ -104,7 +105,7 @@ def account_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     holders = ends.groupBy("stated").agg(F.count("*").alias("holders"))
     by_part = parts.join(ends, "stated").join(holders, "stated").groupBy("record", "entity").agg(F.max(F.least(F.lit(1.0), F.length("stated") / F.lit(10.0)) / F.col("holders")).alias("identifier"))
 
-    pairs = by_name.join(by_part, ["record", "entity"], "full")
+    pairs = materialize(by_name.join(by_part, ["record", "entity"], "full"), "pairs")
     places = rows.where("state is not null or postcode is not null").groupBy("record", "state", "postcode").agg(F.sum("n").alias("n"))
     homes = register.select("entity", F.col("state").alias("home_state"), F.col("postcode").alias("home_code")).where("home_state is not null or home_code is not null").distinct()
     fit = F.when(F.col("postcode").isNotNull() & F.col("home_code").isNotNull(), F.when(F.col("postcode") == F.col("home_code"), 1.0).otherwise(0.0)).when(F.col("state") == F.col("home_state"), 0.3).otherwise(0.0)
