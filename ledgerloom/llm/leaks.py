@@ -220,7 +220,7 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
     spark = found.sparkSession
     size = len(weight)
     rank = min(rank, size)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0].astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank), dtype=np.float32))[0]
     own = np.concatenate([_windows(w) for w in items.words])
     corpus = int(found.agg(F.sum(F.ceil(F.size("words") / WINDOW))).first()[0] or 0)
     emphasis = 4 * max(1.0, corpus / len(own))
@@ -260,11 +260,12 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
         def add(parts: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": parts["block"].iloc[:1], "x": [np.sum(np.stack(parts["x"].to_numpy()), 0)]})
 
-        sums = found.mapInPandas(run, "block int, x array<float>").groupBy("block").applyInPandas(add, "block int, x array<float>").collect()
+        sums = found.mapInPandas(run, "block int, x array<float>").groupBy("block").applyInPandas(add, "block int, x array<float>").toArrow()
         z = emphasis * product(iter(own), basis)[0]
-        for i, x in sums:
-            z[i * block : i * block + len(x) // rank] += np.array(x, np.float32).reshape(-1, rank)
-        basis = np.linalg.qr(z)[0].astype(np.float32)
+        for i, x in zip(sums.column("block").to_pylist(), sums.column("x")):
+            part = x.values.to_numpy().reshape(-1, rank)
+            z[i * block : i * block + len(part)] += part
+        basis = np.linalg.qr(z)[0]
         sent.destroy()
     return basis
 
