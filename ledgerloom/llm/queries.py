@@ -79,10 +79,11 @@ _PLACE = rf"(?:({_STATES}) ([0-9]{{4}})|(?:, |postcode |from )([0-9]{{4}})(?: ({
 def account_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs of accounts and register entities with their evidence, the full numbers that accounts state)."""
     raw = table(spark, sf_dir, "raw_contract_data")
-    found = lambda i: F.nullif(F.regexp_extract("description", _PLACE, i), F.lit(""))
-    rows = raw.select(
+    # descriptions are long: they are searched once, and what was found is taken apart
+    part = lambda what: F.nullif(F.regexp_extract("place", what, 0), F.lit(""))
+    rows = raw.select("supplierid", "suppliername", "supplierabn", F.regexp_extract("description", _PLACE, 0).alias("place")).select(
         present(F.col("supplierid")).alias("record"), present(F.col("suppliername")).alias("name"), F.nullif(digits(F.col("supplierabn")), F.lit("")).alias("stated"),
-        F.coalesce(found(1), found(4)).alias("state"), F.coalesce(found(2), found(3)).alias("postcode"),
+        part(_STATES).alias("state"), part("[0-9]{4}").alias("postcode"),
     ).where("record is not null")
     rows = materialize(rows.groupBy("record", "name", "stated", "state", "postcode").agg(F.count("*").alias("n")), "accounts")
     register = table(spark, sf_dir, "raw_abr_entity").select(full_abn(F.col("abn")).alias("entity"), present(F.col("entity_name")).alias("name"), F.upper(present(F.col("state"))).alias("state"), present(F.col("postcode")).alias("postcode"), F.upper(present(F.col("name_type"))).alias("kind")).where("entity is not null")
