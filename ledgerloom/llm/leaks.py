@@ -10,7 +10,9 @@
 3. A cosine search in that space: a stretch of text is a candidate for the items of which a window comes within
    ``cosine`` of one of its own.  A window whose known words make up less than ``cosine`` of its length cannot
    come that near to anything (Cauchy and Schwarz), so only stretches of other windows are projected.
-4. Each candidate is aligned with the item: seeds of consecutive common words are extended by the furthest
+4. What the weights or the space hide is a candidate too: a leak of ``least`` words has a run of unaltered ones
+   (``seed_size``), so every run of that length that a document shares with an item is looked up, without loss.
+5. Each candidate is aligned with the item: seeds of consecutive common words are extended by the furthest
    reaching paths over at most ``altered`` edits, the longest common subsequence in a narrow band.  A leak is a
    span of at least ``least`` words of the item that begins and ends with the item's words.
 
@@ -309,12 +311,17 @@ def _reach(doc: np.ndarray, item: np.ndarray, most: int) -> list[int]:
     return out
 
 
+def seed_size(least: int, altered: int) -> int:
+    """How many unaltered words in a row every span of ``least`` words with at most ``altered`` altered ones has."""
+    return max(1, -(-(least - altered) // (altered + 1)))
+
+
 def leaked_span(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, altered: int = 3) -> int:
     """The longest span of the item's words in a row that the stretch holds with at most ``altered`` of them altered.
 
     A span of ``least`` words has a run of at least least / (altered + 1) unaltered ones; every such run is a seed.
     """
-    seed = max(1, -(-(least - altered) // (altered + 1)))
+    seed = seed_size(least, altered)
     n, m = len(doc), len(item)
     if n < seed or m < seed:
         return 0
@@ -341,8 +348,104 @@ def leaked_span(doc: np.ndarray, item: np.ndarray, least: int = WINDOW, altered:
     return best
 
 
+def _grams(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place on; equal hashes of different words only cost an alignment."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = (out + words[at + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _may_leak(doc: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, place: np.ndarray, size: int, least: int, altered: int) -> np.ndarray:
+    """Which runs of ``size`` equal words at ``at`` in the document and ``place`` in the item can lie in a leak.
+
+    ``altered`` edits move no word by more than ``altered`` places against the run, and leave all but ``altered`` of any
+    ``least`` words in a row; runs without so many equal words that near are none, so nothing is lost.
+    """
+    x = np.arange(size - least, least)
+    here = place[:, None] + x
+    inside = (here >= 0) & (here < len(item))
+    word = item[np.clip(here, 0, len(item) - 1)]
+    equal = np.zeros(here.shape, bool)
+    for d in range(-altered, altered + 1):
+        there = at[:, None] + x + d
+        good = inside & (there >= begin[:, None]) & (there < end[:, None])
+        equal |= good & (doc[np.clip(there, 0, len(doc) - 1)] == word)
+    sums = lambda y: np.concatenate([np.zeros((len(y), 1), int), np.cumsum(y, 1)], 1)
+    e, i = sums(equal), sums(inside)
+    return ((e[:, least:] - e[:, :-least] >= least - altered) & (i[:, least:] - i[:, :-least] == least)).any(1)
+
+
+def seeded(read: DataFrame, items: Items, schema: str, least: int, altered: int) -> DataFrame:
+    """The leaks among all pairs of a document and an item that share a run of ``seed_size`` words; no cosine is known."""
+    size = seed_size(least, altered)
+    parts = [(_grams(w, np.arange(len(w) - size + 1), size), i) for i, w in enumerate(items.words) if len(w) >= least]
+    if not parts:
+        return read.sparkSession.createDataFrame([], schema)
+    grams = np.concatenate([g for g, _ in parts])
+    order = np.argsort(grams, kind="stable")
+    of, place = np.repeat([i for _, i in parts], [len(g) for g, _ in parts])[order], np.concatenate([np.arange(len(g)) for g, _ in parts])[order]
+    sent = read.sparkSession.sparkContext.broadcast((items.words, items.ids, grams[order], of, place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids, grams, of, place = sent.value
+        joined = np.concatenate(words)
+        joins = np.cumsum([0, *map(len, words)])
+        some = np.zeros(1 << 20, bool)
+        some[grams >> np.uint64(44)] = True
+        for b in batches:
+            lists = b.column(2)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            strange = np.concatenate([[0], np.cumsum(flat == 0)])
+            at = np.flatnonzero(strange[size:] == strange[:-size])
+            g = _grams(flat, at, size)
+            keep = some[g >> np.uint64(44)]
+            at, g = at[keep], g[keep]
+            first, last = np.searchsorted(grams, g, "left"), np.searchsorted(grams, g, "right")
+            row = np.searchsorted(offsets, at, "right") - 1
+            hit = np.flatnonzero((last > first) & (at + size <= offsets[row + 1]))
+            n = (last - first)[hit]
+            at, row = np.repeat(at[hit], n), np.repeat(row[hit], n)
+            x = np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            # of a longer run the start is enough
+            begins = (at == offsets[row]) | (place[x] == 0)
+            begins[~begins] = flat[at[~begins] - 1] != joined[joins[of[x[~begins]]] + place[x[~begins]] - 1]
+            at, row, x = at[begins], row[begins], x[begins]
+            # where in the document a span with such a run can lie, by document and item
+            ranges: dict[tuple[int, int], list[list[int]]] = {}
+            for i in np.unique(of[x]).tolist():
+                mine = np.flatnonzero(of[x] == i)
+                for some_of in np.split(mine, range(4096, len(mine), 4096)):
+                    p, j, r = at[some_of], place[x[some_of]], row[some_of]
+                    a, z = offsets[r], offsets[r + 1]
+                    near = _may_leak(flat, p, a, z, words[i], j, size, least, altered)
+                    begin = np.maximum(a, p - j - altered)[near]
+                    end = np.minimum(z, p - j + len(words[i]) + altered)[near]
+                    for k, u, v in zip(r[near].tolist(), begin.tolist(), end.tolist()):
+                        known = ranges.setdefault((k, i), [])
+                        if known and u <= known[-1][1] and v >= known[-1][0]:
+                            known[-1] = [min(u, known[-1][0]), max(v, known[-1][1])]
+                        else:
+                            known.append([u, v])
+            keys, out = b.column(0), []
+            for (r, i), known in ranges.items():
+                span = max(leaked_span(flat[begin:end], words[i], least, altered) for begin, end in known)
+                if span >= least:
+                    out.append((r, ids[i], span))
+            if out:
+                rows = [x[0] for x in out]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array([x[1] for x in out], kind), pa.nulls(len(out), pa.float64()), pa.array([x[2] for x in out], pa.int32())], ["key", "item", "cosine", "span"])
+
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(schema.split(", ")[1].split()[1])
+    return read.where("at = 0").mapInArrow(run, schema)
+
+
 def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame, item_key: str, item_text: str, *, cosine: float = 0.5, least: int = WINDOW, altered: int = 3, rank: int | None = None, checked: bool = True) -> DataFrame:
-    """(key, item, cosine, span): the leaks, or with checked=False all candidates with their span."""
+    """(key, item, cosine, span): the leaks, or with checked=False all candidates with their span.
+
+    The cosine is null where only a run of equal words gave the leak away.
+    """
     items = Items.read(item_table, item_key, item_text)
     spark = documents.sparkSession
     kind, item_kind = documents.schema[key].dataType.simpleString(), item_table.schema[item_key].dataType.simpleString()
@@ -390,7 +493,7 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
                         out.append((part["key"].iloc[t], ids[i], float(best[t, i]), span))
                 yield pd.DataFrame(out, columns=["key", "item", "cosine", "span"])
 
-    hits = found.repartition(F.hash("key", "at")).mapInPandas(run, schema)
+    hits = found.repartition(F.hash("key", "at")).mapInPandas(run, schema).unionByName(seeded(read, items, schema, least, altered))
     hits = materialize(hits.groupBy("key", "item").agg(F.max("cosine").alias("cosine"), F.max("span").alias("span")), "leaks")
     sent.destroy()
     return hits

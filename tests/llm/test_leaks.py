@@ -70,3 +70,27 @@ def test_empty_tables(spark):
     assert found(spark, [], ["a b c"]) == {}
     assert found(spark, ["a b c"], []) == {}
     assert found(spark, ["a b c", None], ["a b c", None]) == {}
+
+
+def test_spans_whose_rare_words_are_altered_are_found_at_every_offset(spark):
+    r = random.Random(11)
+    everyday = [f"say{a}{b}" for a in "abcdefghijklmn" for b in "opqrstuvwxyz"]
+    items = []
+    for _ in range(3):
+        w = [r.choice(everyday) for _ in range(100)]
+        w[7::13] = r.sample(VOCABULARY, len(w[7::13]))
+        items.append(w)
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        for a in range(61):
+            part = item[a : a + 40]
+            for i in [i for i in range(1, 39) if part[i] in VOCABULARY][:3]:
+                part[i] = "█████"
+            want.add((len(docs), k))
+            docs.append(" ".join([*r.choices(everyday, k=60), *part, *r.choices(everyday, k=60)]))
+    for k, item in enumerate(items):  # four altered: too many
+        part = item[20:60]
+        for i in (8, 16, 24, 32):
+            part[i] = "█████"
+        docs.append(" ".join([*r.choices(everyday, k=60), *part, *r.choices(everyday, k=60)]))
+    assert set(found(spark, docs, [" ".join(w) for w in items])) == want
