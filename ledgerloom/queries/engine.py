@@ -22,6 +22,7 @@ from ledgerloom.streaming import cdc
 AS_OF = "2024-03-31"
 RUN_1, RUN_2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 TEXT_COLUMNS = ("agencyname", "value", "suppliername", "description", "publishdate", "contractstart", "contractend", "procurementmethod", "category", "agencyabn", "supplierabn", "categoryunspsc", "supplierid", "sourceurl")
+REGISTER_COLUMNS = ["abn", "abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "entity_name", "name_type", "state", "postcode"]
 CHECKED = ("abr_entity_name", "abr_entity_type", "abr_abn_status", "supplier_abn_is_placeholder")
 
 
@@ -34,7 +35,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     register = staging.latest_delivery(table(spark, sf_dir, "raw_abr_entity"))
     return {
         "raw_contract_data": staging.null_tokens(table(spark, sf_dir, "raw_contract_data"), [*TEXT_COLUMNS, "cnid"]),
-        "raw_abr_entity": staging.null_tokens(register, ["abn", "abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "entity_name", "name_type", "state", "postcode"]),
+        "raw_abr_entity": staging.null_tokens(register, REGISTER_COLUMNS),
         "known_non_suppliers": table(spark, sf_dir, "known_non_suppliers"),
     }
 
@@ -95,6 +96,59 @@ def prune_missing(spark, sf_dir):
     return merge(first, _delivery(spark, sf_dir, 2), "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_2), prune=True, actions=True).where("_action = 'delete'").select("cnid")
 
 
+# the same over all deliveries in order; the queries above stop at the second, as their SQL does
+
+
+def _days(spark, sf_dir, name: str) -> list:
+    """The file days of a table; deliveries and extracts, few."""
+    day = file_day(F.col("_source_file"))
+    return [r[0] for r in table(spark, sf_dir, name).select(day.alias("d")).where("d is not null").distinct().orderBy("d").collect()]
+
+
+def _run(n: int):
+    """The time of the n-th load, a month after the one before; the first two are RUN_1 and RUN_2."""
+    return F.add_months(_ts(RUN_1), n - 1).cast("timestamp_ntz")
+
+
+def _steps(spark, sf_dir):
+    """(load time, delivery) of every delivery, the oldest first."""
+    for n in range(1, len(_days(spark, sf_dir, "raw_contract_data")) + 1):
+        yield _run(n), materialize(_delivery(spark, sf_dir, n), "delivery")
+
+
+def _all_loaded(spark, sf_dir, mode: str) -> DataFrame:
+    state = None
+    for at, rows in _steps(spark, sf_dir):
+        state = materialize(load(state, rows, mode, "cnid", TEXT_COLUMNS, "_loaded_at", at), "loaded")
+    return _delivery(spark, sf_dir, 1).withColumn("_loaded_at", _run(1)) if state is None else state
+
+
+def delta_merge_all(spark, sf_dir):
+    return _all_loaded(spark, sf_dir, "delta")
+
+
+def incremental_load_all(spark, sf_dir):
+    return _all_loaded(spark, sf_dir, "incremental")
+
+
+def full_load_all(spark, sf_dir):
+    return _all_loaded(spark, sf_dir, "full")
+
+
+def prune_missing_all(spark, sf_dir):
+    """The keys that each delta load removes, and when; a key that returns can go again."""
+    gone = _delivery(spark, sf_dir, 1).where("false").select("cnid", _run(1).alias("_removed_at"))
+    state = None
+    for at, rows in _steps(spark, sf_dir):
+        if state is None:
+            state = materialize(load(None, rows, "full", "cnid", TEXT_COLUMNS, "_loaded_at", at), "loaded")
+            continue
+        merged = materialize(merge(state, rows, "cnid", TEXT_COLUMNS, "_loaded_at", at, prune=True, actions=True), "merged")
+        gone = gone.unionByName(merged.where("_action = 'delete'").select("cnid", at.alias("_removed_at")))
+        state = merged.where("_action <> 'delete'").drop("_action")
+    return gone
+
+
 # incremental fact: what was loaded by the middle of the deliveries, then all
 
 
@@ -137,6 +191,21 @@ def scd2_history(spark, sf_dir):
     return mart.rpt_supplier_history(advance(materialize(history, "history"), now, "supplier_key", CHECKED, _ts(RUN_2)))
 
 
+def scd2_history_all(spark, sf_dir):
+    """Over every extract of the register in order."""
+    b = bronze(spark, sf_dir)
+    columns = ("supplier_key", "supplier_name", "supplier_abn", *CHECKED)
+    register = table(spark, sf_dir, "raw_abr_entity")
+    history = None
+    for n, day in enumerate(_days(spark, sf_dir, "raw_abr_entity"), 1):
+        extract = staging.null_tokens(register.where(file_day(F.col("_source_file")) == F.lit(day)), REGISTER_COLUMNS)
+        now = Models(spark, b | {"raw_abr_entity": extract}).build("dim_supplier").select(*columns)
+        history = materialize(advance(history, now, "supplier_key", CHECKED, _run(n)), "history")
+    if history is None:
+        history = advance(None, Models(spark, b).build("dim_supplier").select(*columns), "supplier_key", CHECKED, _run(1))
+    return mart.rpt_supplier_history(history)
+
+
 # checks; those that are empty by construction get input that breaks them
 
 
@@ -233,6 +302,25 @@ def cdc_merge(spark, sf_dir):
     return store.read()
 
 
+def cdc_merge_all(spark, sf_dir):
+    """The changes of every delivery after the first, each read as a stream and merged into the mirror."""
+    home = fresh_path(spark, "cdc")
+    store = SnapshotStore(spark, f"{home}/mirror")
+    state = None
+    for at, rows in _steps(spark, sf_dir):
+        if state is None:
+            state = materialize(load(None, rows, "full", "cnid", TEXT_COLUMNS, "_loaded_at", at), "first")
+            store.commit(cdc.mirror(state).withColumn("_merged_at", at))
+            continue
+        merged = materialize(merge(state, rows, "cnid", TEXT_COLUMNS, "_loaded_at", at, prune=True, actions=True), "merged")
+        cdc.change_log(state, merged, "cnid").write.mode("append").parquet(f"{home}/log")
+        cdc.start_merge(spark, f"{home}/log", store, f"{home}/checkpoint", at, availableNow=True).awaitTermination()
+        state = merged.where("_action <> 'delete'").drop("_action")
+    if state is None:
+        store.commit(cdc.mirror(_delivery(spark, sf_dir, 1).withColumn("_loaded_at", _run(1))).withColumn("_merged_at", _run(1)))
+    return store.read()
+
+
 def dynamic_agency_spend(spark, sf_dir):
     home = fresh_path(spark, "dynamic")
     path = f"{sf_dir}/raw_contract_data.parquet"
@@ -255,5 +343,6 @@ QUERIES = {name: _model(m) for name, m in _NAMES.items()} | {
         amendment_parse, top_suppliers, delta_merge, incremental_load, full_load, prune_missing, fact_incremental, affected_chains, gold_drift, scd2_history, mart_reconcile, fk_orphans, unique_violations,
         not_null_violations, accepted_values, abn_sentinel, placeholder_values, rollup_merge_check, name_match_check, one_row_per_abn, freshness, measures_total, measure_prior_year, measure_yoy, measure_ytd,
         masked_contracts, row_policy, cdc_merge, dynamic_agency_spend,
+        delta_merge_all, incremental_load_all, full_load_all, prune_missing_all, scd2_history_all, cdc_merge_all,
     )
 }
