@@ -147,11 +147,12 @@ def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence
     pivots = keys.where("official").select("core", F.col("key").alias("other"), F.col("generics").alias("other_generics"))
     points = pivots.select("core").distinct()
     forms = _forms(keys.where("not official"))
-    exact = materialize(forms.join(pivots, "core").select("key", "other", "generics", "other_generics", F.lit(0).alias("distance")), "exact")
+    # a core that only others bear is searched in its radius like any other
+    exact = materialize(_agreeing(forms.join(pivots, "core").select("key", "other", "generics", "other_generics", F.lit(0).alias("distance"))), "exact")
     open_forms = forms.join(exact.select("key").distinct(), "key", "left_anti")
     reach = materialize(within_radius(open_forms.select("core").distinct(), points), "reach")
     near = open_forms.join(reach, "core").join(pivots.withColumnRenamed("core", "pivot"), "pivot").select("key", "other", "generics", "other_generics", "distance")
-    offers = _agreeing(exact.unionByName(near)).withColumn("rank", F.struct("distance", (-F.col("hit")).alias("hit"), "left"))
+    offers = exact.unionByName(_agreeing(near)).withColumn("rank", F.struct("distance", (-F.col("hit")).alias("hit"), "left"))
     best = offers.groupBy("key").agg(F.min("rank").alias("best"))
     chosen = offers.join(best, "key").where("rank = best").groupBy("key").agg(F.min("other").alias("other"), F.count_distinct("other").alias("n")).where("n = 1").select("key", F.col("other").alias("name_id"))
     chosen = materialize(chosen, "chosen")

@@ -70,3 +70,10 @@ def test_variants_are_linked_and_sister_firms_are_not(spark):
 
 def test_empty_table(spark):
     assert variant_pairs(names(spark, [], [])).collect() == []
+
+
+def test_a_misspelling_that_is_the_core_of_another_firm(spark):
+    core = ["Balovir", "Cedumas", "Difaker", "Gopelin", "Hurasto", "Jimoket"]
+    official = [f"{c.upper()} {t} PTY LTD" for c in core[1:] for t in ("MARINE", "FREIGHT")] + ["BALOVIR MARINE PTY LTD", "BALOVER FREIGHT PTY LTD"]
+    pairs = {(r.name_a, r.name_b) for r in variant_pairs(names(spark, ["Balover Marine P/L"], official)).collect()}
+    assert pairs == {("BALOVIR MARINE PTY LTD", "Balover Marine P/L")}
