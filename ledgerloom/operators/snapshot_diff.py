@@ -1,11 +1,13 @@
 """What changed between consecutive full snapshots.
 
-The two-way EXCEPT ALL of neighbouring snapshots is one signed aggregation: every distinct content of a key
-counts +1 for its own snapshot and -1 for the following one, and what cancels is identical.  The residues are
-then put together per key, with the key's presence on either side, to label it added, removed or changed.
-Contents are compared by a 128-bit hash of the normalised fields, so that only keys and hashes are shuffled.
-A key with very many rows is reduced to its distinct contents on the map side, and the first shuffle spreads
-it by content.
+Each snapshot is set against the one before it by EXCEPT ALL both ways, which removes what is identical; the residues
+of both directions are full-joined by key.  A key with residues on both sides changed.  A key with residues on one
+side only was added or removed if the other snapshot does not hold it at all, else it gained or lost a content and
+changed; only these few keys are looked up.
+
+Contents are compared by a 128-bit hash of the normalised fields, so that only keys and hashes are shuffled.  A key
+with very many rows is reduced to its distinct contents on the map side, and every shuffle of contents spreads it by
+content; residues are counted by key on the map side before they are joined.
 
 Defined cases: rows with a null key or day are left out; repeated rows count once; a snapshot without a
 predecessor gives nothing; a single snapshot or an empty table gives an empty result; further columns are ignored.
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.history import snapshot_days
+from ledgerloom.session import materialize
 
 
 def content_hash(fields: Sequence[Column]) -> tuple[Column, Column]:
@@ -33,11 +36,16 @@ def snapshot_diff(rows: DataFrame, key: str, day: str, fields: Sequence[str], da
     if len(days) < 2:
         return rows.limit(0).select(day, key, F.lit("").alias("change"))
     h1, h2 = content_hash([F.col(f) for f in fields])
-    # one bit a side: 1 = stands in the snapshot itself, 2 = stands in the one before
-    follower = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(days, days[1:]) for x in pair]), F.col(day))
-    facts = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(day), F.col(key), h1.alias("h1"), h2.alias("h2")).distinct()
-    sides = facts.select(key, "h1", "h2", F.explode(F.array(F.struct(F.col(day).alias("day"), F.lit(1).alias("side")), F.struct(follower.alias("day"), F.lit(2).alias("side")))).alias("s")).where("s.day is not null")
-    content = sides.groupBy(F.col("s.day").alias("day"), key, "h1", "h2").agg(F.bit_or("s.side").alias("sides"))
-    keys = content.groupBy("day", key).agg(F.bit_or("sides").alias("present"), F.bool_or(F.col("sides") != 3).alias("residue"))
-    label = F.when(F.col("present") == 1, "added").when(F.col("present") == 2, "removed").otherwise("changed")
-    return keys.where((F.col("day") != days[0]) & F.col("residue")).select(F.col("day").alias(day), key, label.alias("change"))
+    contents = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(day).alias("day"), F.col(key).alias("key"), h1.alias("h1"), h2.alias("h2")).distinct()
+    contents = materialize(contents, "contents")
+    follower = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(days, days[1:]) for x in pair]), F.col("day"))
+    before_it = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(days, days[1:]) for x in reversed(pair)]), F.col("day"))
+    now = contents.where(F.col("day") != days[0])
+    before = contents.where(F.col("day") != days[-1]).select(follower.alias("day"), "key", "h1", "h2")
+    count = lambda residue, n: residue.groupBy("day", "key").agg(F.count("*").alias(n))
+    both = count(now.exceptAll(before), "n_now").join(count(before.exceptAll(now), "n_before"), ["day", "key"], "full_outer")
+    one_sided = F.col("n_now").isNull() | F.col("n_before").isNull()
+    residues = both.withColumn("other", F.when(F.col("n_before").isNull(), before_it).when(F.col("n_now").isNull(), F.col("day")))
+    held = contents.select(F.col("day").alias("other"), "key").distinct().withColumn("held", F.lit(True))
+    label = F.when(~one_sided | F.col("held").isNotNull(), "changed").when(F.col("n_before").isNull(), "added").otherwise("removed")
+    return residues.join(held, ["other", "key"], "left").select(F.col("day").alias(day), F.col("key").alias(key), label.alias("change"))

@@ -75,22 +75,25 @@ SUPPLIER = Reference("raw_contract_data", ("abn", "in_force"), "raw_abr_entity",
 AMENDED = Reference("raw_contract_data", ("base", "delivery"), "raw_contract_data", ("notice", "delivery"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(all orphans of the reference graph with their number and delivery, the register's holdings)."""
     contracts, held = _references(spark, sf_dir)
-    direct = cascade({"raw_contract_data": contracts, "raw_abr_entity": held}, [SUPPLIER]).where("level = 0")
-    kinds = reference_gaps(contracts.select("abn", F.col("delivery").alias("day")), held, "abn")
-    rows = contracts.join(direct.select("row_id"), "row_id", "left_semi").select("row_id", "abn", F.col("delivery").alias("day"))
-    return rows.join(kinds, ["abn", "day"]).select("row_id", "kind")
+    contracts = materialize(contracts, "contracts")
+    return cascade({"raw_contract_data": contracts, "raw_abr_entity": held}, [SUPPLIER, AMENDED], carry=("abn", "delivery")), held
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct orphans of the supplier reference, out of the fixpoint of the whole graph, with the kind of gap."""
+    found, held = _orphans(spark, sf_dir)
+    direct = found.where(F.array_contains("vias", "raw_contract_data.abn") & (F.col("level") == 0)).select("row_id", "abn", F.col("delivery").alias("day"))
+    return reference_gaps(direct, held, "abn").select("row_id", "kind")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct and inherited orphans per table and delivery: suppliers not in the register, amendments without base notice."""
-    contracts, held = _references(spark, sf_dir)
-    contracts = materialize(contracts, "contracts")
-    found = cascade({"raw_contract_data": contracts, "raw_abr_entity": held}, [SUPPLIER, AMENDED])
-    rows = found.where("table = 'raw_contract_data'").join(contracts.select("row_id", "delivery"), "row_id")
+    found, _ = _orphans(spark, sf_dir)
     label = F.when(F.col("level") == 0, "direct").otherwise("inherited")
-    return rows.groupBy("table", "delivery", "via", label.alias("orphan")).agg(F.count("*").alias("n_rows"), F.max("level").cast("bigint").alias("deepest"))
+    return found.where("table = 'raw_contract_data'").groupBy("table", "delivery", "via", label.alias("orphan")).agg(F.count("*").alias("n_rows"), F.max("level").cast("bigint").alias("deepest"))
 
 
 def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,21 @@ def test_snapshot_diff(spark):
     assert snapshot_diff(df.limit(0), "cnid", "delivery", ["v"]).collect() == []
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["d1", "d2", "d3"]), st.sampled_from("kmn"), st.sampled_from(["a", "b", None])), max_size=14))
+def test_snapshot_diff_equals_brute_force(spark, rows):
+    days = sorted({r[0] for r in rows})
+    contents = lambda d, k: {r[2] for r in rows if r[:2] == (d, k)}
+    want = set()
+    for before, now in zip(days, days[1:]):
+        for k in "kmn":
+            x, y = contents(before, k), contents(now, k)
+            if x != y:
+                want.add((now, k, "added" if not x else "removed" if not y else "changed"))
+    df = spark.createDataFrame(rows, "delivery string, cnid string, v string").withColumns({"day": F.lit("clash"), "key": F.lit("clash")})
+    assert {tuple(r) for r in snapshot_diff(df, "cnid", "delivery", ["v"]).collect()} == want
+
+
 # orphans
 
 
@@ -123,6 +138,19 @@ def test_cascade_down_a_chain(spark):
     assert cascade({"t": t.limit(0)}, [Reference("t", ("up",), "t", ("k",))]).collect() == []
 
 
+def test_cascade_three_levels_down_a_graph_of_tables(spark):
+    """A line hangs on a notice, a notice on a supplier and an amendment on its notice; one row is orphaned by two references."""
+    suppliers = spark.createDataFrame([(1, "s1")], "row_id bigint, s string")
+    notices = spark.createDataFrame([(1, "n1", "s1", None), (2, "n2", "lost", None), (3, "n3", "s1", "n2"), (4, "n4", "s1", "n3"), (5, "n5", "lost", "gone"), (6, "n6", None, "n1")], "row_id bigint, n string, s string, base string")
+    lines = spark.createDataFrame([(1, "n4", "a"), (2, "n1", "b"), (3, None, "c"), (4, "n9", "d")], "row_id bigint, n string, note string")
+    refs = [Reference("notices", ("s",), "suppliers", ("s",)), Reference("notices", ("base",), "notices", ("n",)), Reference("lines", ("n",), "notices", ("n",))]
+    got = {(x.table, x.row_id): (x.level, x.vias, x.note) for x in cascade({"suppliers": suppliers, "notices": notices, "lines": lines}, refs, carry=("note",)).collect()}
+    assert got == {
+        ("notices", 2): (0, ["notices.s"], None), ("notices", 5): (0, ["notices.base", "notices.s"], None), ("notices", 3): (1, ["notices.base"], None), ("notices", 4): (2, ["notices.base"], None),
+        ("lines", 1): (3, ["lines.n"], "a"), ("lines", 4): (0, ["lines.n"], "d"),
+    }
+
+
 def test_cascade_over_a_cycle_ends(spark):
     t = spark.createDataFrame([(1, 1, 9, 2), (2, 2, None, 1)], "row_id bigint, k bigint, lost bigint, up bigint")
     refs = [Reference("t", ("lost",), "t", ("k",)), Reference("t", ("up",), "t", ("k",))]
