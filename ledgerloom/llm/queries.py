@@ -12,6 +12,7 @@ from ledgerloom.llm.languages import NOTATIONS, label_corpus
 from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.linkage import match
 from ledgerloom.llm.variants import resolve_names, variant_pairs
+from ledgerloom.operators.parse_errors import readable_number
 from ledgerloom.session import materialize, table
 
 FIELDS = (
@@ -33,8 +34,8 @@ def _notice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positive():
-    """A value that reads as a number above zero."""
-    return F.coalesce(F.col("value").rlike(r"\A[0-9]+(\.[0-9]+)?\z") & F.col("value").rlike("[1-9]"), F.lit(False))
+    """A value that reads as a number above zero; what is readable is said in one place."""
+    return F.coalesce(F.col("value").isNotNull() & readable_number(F.col("value")) & ~F.col("value").startswith("-") & F.col("value").rlike("[1-9]"), F.lit(False))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +179,6 @@ _DAY = r"strptime(nullif(regexp_extract(_source_file, '_([0-9]{8})(?:_|\.|$)', 1
 
 ORACLE = {
     "p5_found": f"""WITH r AS (SELECT row_id, _loaded_at, {_DAY} AS delivery, {_P("cnid")} AS k, {_P("value")} AS v, {" + ".join(f"(({_P(c)}) IS NOT NULL)::int" for c in FIELDS)} AS filled FROM raw_contract_data),
-c AS (SELECT *, {_KEY} AS cnid, coalesce(regexp_full_match(v, '[0-9]+([.][0-9]+)?') AND regexp_matches(v, '[1-9]'), false)::int AS positive FROM r WHERE k IS NOT NULL AND delivery IS NOT NULL)
+c AS (SELECT *, {_KEY} AS cnid, coalesce(regexp_full_match(v, '[0-9]{{1,16}}([.][0-9]+)?') AND regexp_matches(v, '[1-9]'), false)::int AS positive FROM r WHERE k IS NOT NULL AND delivery IS NOT NULL)
 SELECT delivery, cnid, row_id FROM (SELECT *, count(*) OVER (PARTITION BY delivery, cnid) AS n, row_number() OVER (PARTITION BY delivery, cnid ORDER BY filled DESC, _loaded_at DESC NULLS LAST, positive DESC, row_id) AS pos FROM c) WHERE n > 1 AND pos = 1""",
 }
