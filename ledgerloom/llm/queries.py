@@ -11,7 +11,7 @@ from ledgerloom.llm.fusion import best_rows, duplicates, fuse
 from ledgerloom.llm.languages import NOTATIONS, label_corpus
 from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.linkage import match
-from ledgerloom.llm.variants import resolve_names, variant_pairs
+from ledgerloom.llm.variants import MAX_PAYEE_TEXTS, resolve_names, variant_pairs
 from ledgerloom.operators.parse_errors import readable_number
 from ledgerloom.session import materialize, table
 
@@ -58,7 +58,7 @@ def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     names = typed.unionByName(official).where("name is not null").groupBy("name").agg(F.bool_or("official").alias("official"), F.count("*").alias("n_rows"))
     payees = table(spark, sf_dir, "known_non_suppliers").select("normalized_name").where("normalized_name is not null")
     names = materialize(names, "spellings")
-    return names, names.where("official"), [r[0] for r in payees.collect()]
+    return names, names.where("official"), [r[0] for r in payees.limit(MAX_PAYEE_TEXTS + 1).collect()]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

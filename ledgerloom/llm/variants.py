@@ -1,19 +1,23 @@
-"""Variant spellings of names, linked by an exact radius join in a metric space.
+"""Variant spellings of names, linked by metric-space partitioning.
 
-Distinct spellings are read into a core and generic words (``names.py``).  The cores are points of a metric
-space under the Levenshtein distance.  The cores of official names are the pivots.  A typed core is assigned to
-every pivot within its radius, so names on the border of several cells are replicated to each.  Random names are
-all about equally far from any few pivots, so distances to a fixed handful of pivots would replicate nearly every
-name to every cell; therefore each official core is a pivot of its own, and the pivots that can be in reach are
-found by the pigeonhole principle: a core cut into r+1 segments keeps one of them through r edits.  That loses no
-pair within the radius.  Inside a cell, which pairs are the same name follows from the triangle inequality: two
-spellings within r of their pivot are within 2r of each other, and official cores are pivots, never variants.
-Cores that reach no pivot elect pivots among themselves, the most often spelled first.
+Distinct spellings are read into a core and generic words (``names.py``).  The cores are points of a metric space
+under the Levenshtein distance.  Two names are in reach of each other within a radius, where a swap of neighbouring
+letters may count as one edit.  ``within_radius`` partitions the space around pivots, official cores far from each other:
 
-A core of several words is also tried with its words turned round.
+* every official core belongs to the cell of its nearest pivot; the cell has an inner and an outer radius;
+* a typed core x with radius r (swaps counted twice) is replicated to each cell that may hold a point in reach.  By the triangle
+  inequality that needs d(x, pivot) <= d(x, nearest pivot) + 2 r, and d(x, pivot) within r of the cell's two radii;
+* inside each cell an exact radius join runs with the true edit distance.  A pair is a candidate if the two keep one
+  of as many segments as edits and one more (an untouched one is left) and, again by the triangle inequality, their
+  distances to the pivot differ by no more than r.
 
-Of the official names in reach the typed name takes the one whose generic words agree, at the least distance,
-with most words in common; a tie between different official names links to none.
+Random names are all about equally far from any pivot, so a border is wide and more cells mean more copies: the
+README has the measured replication.  That is why the cells are few and the work inside a cell is done by segments.
+
+A core of several words is also tried with its words in other orders.  Of the official names in reach the typed name
+takes the one whose generic words agree, at the least distance, with most words in common; a tie between different
+official names links to none.  Spellings that reach no official name follow, among themselves, the most often
+spelled one in reach, and the one that follows in turn, until nothing changes.
 
 Defined cases: absent names, and texts within two edits of a known payee text, are no names; a name is what
 stands there without outer blanks; equal spellings count once; an empty table gives an empty result.
@@ -22,16 +26,24 @@ stands there without outer blanks; equal spellings count once; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import permutations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import NameReader, agreement, generic_words, levenshtein
 from ledgerloom.session import materialize
 
 MAX_PAYEE_TEXTS = 10_000
-PARSED = "name string, official boolean, n_rows bigint, core string, turned string, generics string, key string"
+#: Pivots, and how many cores they are chosen from; any choice is exact, a better one makes fewer copies.
+CELLS, PIVOT_SAMPLE, PIVOT_LETTERS = 4, 1000, 60
+#: Words of a core of which all orders are tried; of more, the sorted order and the rotations of both directions.
+ALL_ORDERS = 4
+#: From so many spellings on, the pairs of one name are made by several tasks.
+HOT_NAME = 2000
+PARSED = "name string, official boolean, n_rows bigint, core string, turned array<string>, generics string, key string"
 
 
 def radius(n: int) -> int:
@@ -52,25 +64,125 @@ def segments(n: int, r: int) -> list[tuple[int, int]]:
 
 
 def pivot_keys(core: str) -> list[str]:
-    """Under which a pivot is found: its segments, for each radius that a name in reach may have."""
+    """Under which a point is found inside its cell: its segments, for each radius that a name in reach may have.
+
+    A segment of a very short core may be empty; then its key is shared by all cores of that length.
+    """
     n = len(core)
     radii = {radius(m) for m in range(max(n - 3, 1), n + 4) if abs(m - n) <= radius(m)}
-    return [f"{r}.{n}.{i}.{core[a : a + size]}" for r in sorted(radii) if n > r for i, (a, size) in enumerate(segments(n, r))]
+    return [f"{r}.{n}.{i}.{core[a : a + size]}" for r in sorted(radii) for i, (a, size) in enumerate(segments(n, r))]
 
 
 def reach_keys(core: str) -> list[str]:
-    """The segments that a pivot within the radius must share one of, by length and place."""
+    """The segments that a point in reach must share one of, by length and place.
+
+    A swap of neighbours across the border of two segments spoils both.  Then what is left of the edits is too little
+    for the others, so the core is also looked up with the two letters at each border swapped back.
+    """
     n, out = len(core), set()
     r = radius(n)
-    for m in range(max(n - r, r + 1), n + r + 1):
+    for m in range(max(n - r, 1), n + r + 1):
         shift = n - m
-        for i, (a, size) in enumerate(segments(m, r)):
+        parts = segments(m, r)
+        for i, (a, size) in enumerate(parts):
             low = max(0, a - i, a + shift - (r - i))
             high = min(n - size, a + i, a + shift + (r - i))
             out.update(f"{r}.{m}.{i}.{core[b : b + size]}" for b in range(low, high + 1))
+        if abs(shift) > (r == 2):
+            continue
+        for border in {a + d for a, _ in parts for d in (0, shift)}:
+            if 0 < border < n and core[border - 1] != core[border]:
+                back = core[: border - 1] + core[border] + core[border - 1] + core[border + 1 :]
+                out.update(f"{r}.{m}.{i}.{back[b : b + size]}" for i, (a, size) in enumerate(parts) for b in {a, a + shift} if 0 <= b <= n - size)
     return sorted(out)
 
 
+def swaps_allowed(n: int) -> int:
+    """Edits within which a swap of neighbours counts as one."""
+    return min(radius(n), 2)
+
+
+def lengthened(n: int) -> int:
+    """What that comes to as a Levenshtein distance, where a swap is two edits."""
+    return max(radius(n), 2 * swaps_allowed(n))
+
+
+def with_swaps(a: str, b: str, most: int) -> int:
+    """The edit distance in which a swap of neighbours is one edit, or ``most`` + 1 where it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i, *[0] * len(b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], last[j - 2] + 1)
+        if min(row) > most and min(before) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def orders(words: Sequence[str]) -> list[str]:
+    """The core in the other orders of its words."""
+    if len(words) <= ALL_ORDERS:
+        ways = permutations(words)
+    else:
+        ways = [sorted(words), *(w[i:] + w[:i] for w in (list(words), list(words)[::-1]) for i in range(len(words)))]
+    return sorted({"".join(w) for w in ways} - {"".join(words)})
+
+
+def distances(pivot: str, cores: Sequence[str]) -> np.ndarray:
+    """The Levenshtein distances of a pivot of at most 63 letters to many cores at once, by bit-parallel columns."""
+    size = np.array([len(c) for c in cores], np.int64)
+    if not pivot:
+        return size
+    out = np.full(len(cores), len(pivot), np.int64)
+    one, high = np.uint64(1), np.uint64(len(pivot) - 1)
+    bits: dict[int, int] = {}
+    for i, c in enumerate(pivot):
+        bits[ord(c)] = bits.get(ord(c), 0) | 1 << i
+    table = np.zeros(max(bits) + 2, np.uint64)
+    table[list(bits)] = list(bits.values())
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):  # cores of like lengths side by side, some millions of letters at a time
+        end = at + 1
+        while end < len(order) and (end - at) * size[order[end]] < 4_000_000:
+            end += 1
+        some = order[at:end]
+        at = end
+        n, width = size[some], int(size[some[-1]])
+        letters = np.zeros((len(some), width), np.uint32)
+        for row, i in enumerate(some):
+            letters[row, : n[row]] = np.frombuffer(cores[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.minimum(letters, len(table) - 1)
+        plus, minus, score = np.full(len(some), (1 << len(pivot)) - 1, np.uint64), np.zeros(len(some), np.uint64), np.full(len(some), len(pivot))
+        for j in range(width):
+            equal = table[letters[:, j]]
+            vertical = equal | minus
+            horizontal = (((equal & plus) + plus) ^ plus) | equal
+            up, down = minus | ~(horizontal | plus), plus & horizontal
+            score = score + ((up >> high) & one).astype(np.int64) - ((down >> high) & one).astype(np.int64)
+            up, down = (up << one) | one, down << one
+            plus, minus = down | ~(vertical | up), up & vertical
+            ends = n == j + 1
+            out[some[ends]] = score[ends]
+    return out
+
+
+def choose_pivots(points: DataFrame, cells: int = CELLS) -> list[str]:
+    """Cores far from each other out of a bounded sample, taken by a hash of the core; the first is the shortest."""
+    sample = [r[0] for r in points.where(F.length("core") <= PIVOT_LETTERS).orderBy(F.xxhash64("core"), "core").limit(PIVOT_SAMPLE).select("core").collect()]
+    if not sample:
+        return [""]
+    pivots = [min(sample, key=lambda c: (len(c), c))]
+    far = distances(pivots[0], sample)
+    while len(pivots) < cells and far.max() > 0:
+        pivots.append(sample[int(far.argmax())])
+        far = np.minimum(far, distances(pivots[-1], sample))
+    return pivots
+
+
 def read_names(names: DataFrame, generics: Sequence[str], payees: Sequence[str]) -> DataFrame:
     """Spellings with their core, generic words and key (core and generic words together)."""
 
@@ -84,32 +196,73 @@ def read_names(names: DataFrame, generics: Sequence[str], payees: Sequence[str])
                 if x is None or not x.core or x.plain in known or any(levenshtein(x.plain, k, 2) <= 2 for k in known if not official):
                     continue
                 g = " ".join(x.generics)
-                turned = "".join(reversed(x.words)) if len(x.words) > 1 else None
-                out.append((name, official, n, x.core, turned, g, f"{x.core}#{g}"))
+                out.append((name, official, n, x.core, orders(x.words), g, f"{x.core}#{g}"))
             yield pd.DataFrame(out, columns=["name", "official", "n_rows", "core", "turned", "generics", "key"])
 
     return names.select("name", "official", "n_rows").mapInPandas(run, PARSED)
 
 
-def _with_keys(cores: DataFrame, which) -> DataFrame:
+def assign(points: DataFrame, pivots: Sequence[str]) -> DataFrame:
+    """(core, cell, ring): the nearest pivot of every point and the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            far = np.stack([distances(p, b["core"].tolist()) for p in pivots], 1) if len(b) else np.zeros((0, 1), int)
+            yield pd.DataFrame({"core": b["core"], "cell": far.argmin(1), "ring": far.min(1)})
+
+    return points.select("core").mapInPandas(run, "core string, cell int, ring int")
+
+
+def replicate(cores: DataFrame, pivots: Sequence[str], inner: Sequence[int], outer: Sequence[int]) -> DataFrame:
+    """(core, cell, ring): every cell that may hold a point within the radius of a core, by the triangle inequality."""
+    low, high = np.array(inner), np.array(outer)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                far = np.stack([distances(p, b["core"].tolist()) for p in pivots], 1)
+                r = np.array([lengthened(len(c)) for c in b["core"]])[:, None]
+                row, cell = np.nonzero((far <= far.min(1, keepdims=True) + 2 * r) & (far >= low - r) & (far <= high + r))
+                yield pd.DataFrame({"core": b["core"].to_numpy()[row], "cell": cell, "ring": far[row, cell]})
+
+    return cores.select("core").mapInPandas(run, "core string, cell int, ring int")
+
+
+def _with_keys(placed: DataFrame, which) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [which(c) for c in b["core"]]
-            yield pd.DataFrame({"core": b["core"], "k": keys}).explode("k").dropna()
+            yield b.assign(k=keys).explode("k").dropna()[["core", "cell", "ring", "k"]]
 
-    return cores.select("core").mapInPandas(run, "core string, k string")
+    return placed.mapInPandas(run, "core string, cell int, ring int, k string")
 
 
-def _radius(core: str) -> Column:
-    n = F.length(core)
-    return F.when(n < 6, 1).when(n < 12, 2).otherwise(3)
+def within_radius(cores: DataFrame, points: DataFrame, cells: int = CELLS) -> DataFrame:
+    """(core, pivot, distance): every point (named pivot) within reach of each core, exactly.
 
+    In reach is what ``radius`` edits lead to, or ``swaps_allowed`` edits of which some swap neighbours; the
+    distance counts a swap as one.
+    """
+    pivots = choose_pivots(points, cells)
+    placed = materialize(assign(points, pivots), "cells")
+    # two numbers a cell
+    rings = {r.cell: (r.low, r.high) for r in placed.groupBy("cell").agg(F.min("ring").alias("low"), F.max("ring").alias("high")).collect()}
+    inner, outer = ([rings[c][i] if c in rings else none for c in range(len(pivots))] for i, none in ((0, 1 << 30), (1, -(1 << 30))))
+    copies = replicate(cores, pivots, inner, outer)
+    theirs = _with_keys(placed, pivot_keys).select(F.col("core").alias("pivot"), "cell", F.col("ring").alias("other_ring"), "k")
+    far = F.when(F.length("core") < 6, 2).otherwise(4)
+    found = _with_keys(copies, reach_keys).join(theirs, ["cell", "k"]).where(F.abs(F.col("ring") - F.col("other_ring")) <= far).select("core", "pivot").distinct()
+    near = found.withColumn("distance", F.levenshtein("core", "pivot", 4)).where((F.col("distance") >= 0) & (F.col("distance") <= far))
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = []
+            for x, y, edits in zip(b["core"], b["pivot"], b["distance"]):
+                swapped = with_swaps(x, y, max(radius(len(x)), 2)) if edits > 1 else edits
+                d.append(swapped if edits <= radius(len(x)) or swapped <= swaps_allowed(len(x)) else None)
+            yield b.assign(distance=pd.array(d, "Int32")).dropna()
 
-def within_radius(cores: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(core, pivot, distance): every pivot within the radius of each core, exactly."""
-    found = _with_keys(cores, reach_keys).join(_with_keys(pivots, pivot_keys).withColumnRenamed("core", "pivot"), "k").select("core", "pivot").distinct()
-    d = F.levenshtein("core", "pivot", 3)
-    return found.withColumn("distance", d).where((F.col("distance") >= 0) & (F.col("distance") <= _radius("core")))
+    return near.mapInPandas(exact, "core string, pivot string, distance int")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -129,9 +282,21 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
 
 def _forms(keys: DataFrame) -> DataFrame:
-    """(core, key, generics) with the core as typed and turned round."""
-    forms = F.filter(F.array("core", "turned"), lambda x: x.isNotNull())
-    return keys.select(F.explode(forms).alias("core"), "key", "generics")
+    """(core, key, generics) with the core as typed and in the other orders of its words."""
+    return keys.select(F.explode(F.array_union(F.array("core"), "turned")).alias("core"), "key", "generics")
+
+
+def follow(leader: DataFrame) -> DataFrame:
+    """(key, leader) with every leader replaced by the one that it follows in the end; each round doubles the reach.
+
+    Weights grow along the way, so there is no circle and the rounds end.
+    """
+    while True:
+        above = leader.select(F.col("key").alias("leader"), F.col("leader").alias("above"))
+        nxt = materialize(leader.join(above, "leader").select("key", F.col("above").alias("leader"), (F.col("above") != F.col("leader")).alias("moved")), "leaders")
+        leader = nxt.select("key", "leader")
+        if nxt.where("moved").isEmpty():
+            return leader
 
 
 def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence[str]) -> DataFrame:
@@ -143,7 +308,7 @@ def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence
     if len(payees) > MAX_PAYEE_TEXTS:
         raise ValueError("too many payee texts for a list that goes to every task")
     parsed = materialize(read_names(names, generic_words(official, "name"), payees), "names")
-    keys = materialize(parsed.groupBy("key", "core", "generics").agg(F.bool_or("official").alias("official"), F.min("turned").alias("turned"), F.count("*").alias("n_spellings"), F.sum("n_rows").alias("n_rows")), "name-keys")
+    keys = materialize(parsed.groupBy("key", "core", "generics").agg(F.bool_or("official").alias("official"), F.array_distinct(F.flatten(F.collect_set("turned"))).alias("turned"), F.count("*").alias("n_spellings"), F.sum("n_rows").alias("n_rows")), "name-keys")
     pivots = keys.where("official").select("core", F.col("key").alias("other"), F.col("generics").alias("other_generics"))
     points = pivots.select("core").distinct()
     forms = _forms(keys.where("not official"))
@@ -165,16 +330,16 @@ def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence
     both = pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), F.col("other_generics").alias("generics"), F.col("generics").alias("other_generics"), "distance"))
     weight = rest.select(F.col("key").alias("other"), F.struct("n_spellings", "n_rows", "key").alias("weight"))
     leader = _agreeing(both).select("key", "other").join(weight, "other").groupBy("key").agg(F.max("weight").getField("key").alias("leader"))
-    leader = materialize(leader, "leaders")
-    up = leader.select(F.col("key").alias("leader"), F.col("leader").alias("above"))
-    second = leader.join(up, "leader").select("key", F.col("above").alias("leader"))
-    own = second.join(up, "leader").select("key", F.col("above").alias("name_id"))
+    own = follow(materialize(leader, "leaders")).select("key", F.col("leader").alias("name_id"))
     ids = keys.where("official").select("key", F.col("key").alias("name_id")).unionByName(chosen).unionByName(own)
     return parsed.join(ids, "key").select("name", "official", "key", "name_id", "n_rows")
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
     """(name_a, name_b): all pairs of different spellings of one name, the smaller first by bytes."""
-    a = resolved.select("name_id", F.col("name").alias("name_a"))
-    b = resolved.select("name_id", F.col("name").alias("name_b"))
-    return a.join(b, "name_id").where("name_a < name_b").select("name_a", "name_b")
+    # a name of very many spellings is shared out: each task pairs a part of them with all
+    hot = resolved.groupBy("name_id").agg(F.count("*").alias("n")).where(F.col("n") > HOT_NAME).select("name_id", F.ceil(F.col("n") / HOT_NAME).cast("int").alias("parts"))
+    parted = resolved.join(hot, "name_id", "left").select("name_id", "name", F.coalesce("parts", F.lit(1)).alias("parts"))
+    a = parted.select("name_id", F.col("name").alias("name_a"), F.pmod(F.hash("name"), "parts").alias("part"))
+    b = parted.select("name_id", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["name_id", "part"]).where("name_a < name_b").select("name_a", "name_b")
