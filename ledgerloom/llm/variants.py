@@ -38,7 +38,7 @@ from ledgerloom.session import materialize
 
 MAX_PAYEE_TEXTS = 10_000
 #: Pivots, and how many cores they are chosen from; any choice is exact, a better one makes fewer copies.
-CELLS, PIVOT_SAMPLE, PIVOT_LETTERS = 4, 1000, 60
+CELLS, PIVOT_SAMPLE, PIVOT_LETTERS = 3, 1000, 60
 #: Words of a core of which all orders are tried; of more, the sorted order and the rotations of both directions.
 ALL_ORDERS = 4
 #: From so many spellings on, the pairs of one name are made by several tasks.
@@ -76,11 +76,18 @@ def pivot_keys(core: str) -> list[str]:
 def reach_keys(core: str) -> list[str]:
     """The segments that a point in reach must share one of, by length and place.
 
-    A swap of neighbours across the border of two segments spoils both.  Then what is left of the edits is too little
-    for the others, so the core is also looked up with the two letters at each border swapped back.
+    A swap of neighbours across the border of two segments spoils both.  Where such swaps and the other edits could
+    spoil all segments, one that a swap back at its border restores is looked up too: the first segment if what else
+    was edited lies behind it, and of three segments the last if that lies before it.
     """
     n, out = len(core), set()
     r = radius(n)
+
+    def swapped_back(border: int, m: int, i: int, at: int, size: int) -> None:
+        if 0 < border < n and 0 <= at <= n - size:
+            back = core[: border - 1] + core[border] + core[border - 1] + core[border + 1 :]
+            out.add(f"{r}.{m}.{i}.{back[at : at + size]}")
+
     for m in range(max(n - r, 1), n + r + 1):
         shift = n - m
         parts = segments(m, r)
@@ -88,12 +95,10 @@ def reach_keys(core: str) -> list[str]:
             low = max(0, a - i, a + shift - (r - i))
             high = min(n - size, a + i, a + shift + (r - i))
             out.update(f"{r}.{m}.{i}.{core[b : b + size]}" for b in range(low, high + 1))
-        if abs(shift) > (r == 2):
-            continue
-        for border in {a + d for a, _ in parts for d in (0, shift)}:
-            if 0 < border < n and core[border - 1] != core[border]:
-                back = core[: border - 1] + core[border] + core[border - 1] + core[border + 1 :]
-                out.update(f"{r}.{m}.{i}.{back[b : b + size]}" for i, (a, size) in enumerate(parts) for b in {a, a + shift} if 0 <= b <= n - size)
+        if abs(shift) <= (r == 2):
+            swapped_back(parts[1][0], m, 0, 0, parts[0][1])
+            if r == 2:
+                swapped_back(parts[2][0] + shift, m, 2, parts[2][0] + shift, parts[2][1])
     return sorted(out)
 
 
@@ -202,39 +207,55 @@ def read_names(names: DataFrame, generics: Sequence[str], payees: Sequence[str])
     return names.select("name", "official", "n_rows").mapInPandas(run, PARSED)
 
 
+PLACED = "core string, cells array<struct<cell:int,ring:int>>, keys array<string>"
+
+
+def _placed(cores: pd.Series, cell: list[np.ndarray], far: np.ndarray, which) -> pd.DataFrame:
+    at = [[{"cell": int(c), "ring": int(far[i, c])} for c in own] for i, own in enumerate(cell)]
+    return pd.DataFrame({"core": cores, "cells": at, "keys": [which(c) for c in cores]})
+
+
+def _far(cores: pd.Series, pivots: Sequence[str]) -> np.ndarray:
+    return np.stack([distances(p, cores.tolist()) for p in pivots], 1)
+
+
 def assign(points: DataFrame, pivots: Sequence[str]) -> DataFrame:
-    """(core, cell, ring): the nearest pivot of every point and the distance to it."""
+    """Every point with its cell, the one of the nearest pivot, the distance to it (the ring), and its segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            far = np.stack([distances(p, b["core"].tolist()) for p in pivots], 1) if len(b) else np.zeros((0, 1), int)
-            yield pd.DataFrame({"core": b["core"], "cell": far.argmin(1), "ring": far.min(1)})
+            if len(b):
+                far = _far(b["core"], pivots)
+                yield _placed(b["core"], list(far.argmin(1)[:, None]), far, pivot_keys)
 
-    return points.select("core").mapInPandas(run, "core string, cell int, ring int")
+    return points.select("core").mapInPandas(run, PLACED)
 
 
 def replicate(cores: DataFrame, pivots: Sequence[str], inner: Sequence[int], outer: Sequence[int]) -> DataFrame:
-    """(core, cell, ring): every cell that may hold a point within the radius of a core, by the triangle inequality."""
+    """Every core with all cells that may hold a point within its radius, by the triangle inequality, and its segments."""
     low, high = np.array(inner), np.array(outer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                far = np.stack([distances(p, b["core"].tolist()) for p in pivots], 1)
+                far = _far(b["core"], pivots)
                 r = np.array([lengthened(len(c)) for c in b["core"]])[:, None]
-                row, cell = np.nonzero((far <= far.min(1, keepdims=True) + 2 * r) & (far >= low - r) & (far <= high + r))
-                yield pd.DataFrame({"core": b["core"].to_numpy()[row], "cell": cell, "ring": far[row, cell]})
+                may = (far <= far.min(1, keepdims=True) + 2 * r) & (far >= low - r) & (far <= high + r)
+                yield _placed(b["core"], [np.flatnonzero(x) for x in may], far, reach_keys)
 
-    return cores.select("core").mapInPandas(run, "core string, cell int, ring int")
+    return cores.select("core").mapInPandas(run, PLACED)
 
 
-def _with_keys(placed: DataFrame, which) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = [which(c) for c in b["core"]]
-            yield b.assign(k=keys).explode("k").dropna()[["core", "cell", "ring", "k"]]
+def _keyed(placed: DataFrame) -> DataFrame:
+    """(core, ring, k): one row for each cell and segment, the two as one number; equal numbers of others only cost a comparison."""
+    cells = placed.select("core", "keys", F.explode("cells").alias("c")).select("core", "keys", "c.cell", "c.ring")
+    return cells.select("core", "cell", "ring", F.explode("keys").alias("k")).select("core", "ring", F.xxhash64("cell", "k").alias("k"))
+
 
-    return placed.mapInPandas(run, "core string, cell int, ring int, k string")
+def _spread(cores: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+    """The distinct cores in tasks of some thousands, however few bytes they are: each makes many keys."""
+    some = materialize(cores.select("core").distinct(), name)
+    return some.repartition(max(1, -(-some.count() // rows)), "core")
 
 
 def within_radius(cores: DataFrame, points: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -243,16 +264,23 @@ def within_radius(cores: DataFrame, points: DataFrame, cells: int = CELLS) -> Da
     In reach is what ``radius`` edits lead to, or ``swaps_allowed`` edits of which some swap neighbours; the
     distance counts a swap as one.
     """
+    points = _spread(points, "points")
     pivots = choose_pivots(points, cells)
     placed = materialize(assign(points, pivots), "cells")
     # two numbers a cell
-    rings = {r.cell: (r.low, r.high) for r in placed.groupBy("cell").agg(F.min("ring").alias("low"), F.max("ring").alias("high")).collect()}
+    at = F.get("cells", F.lit(0))
+    rings = {r.cell: (r.low, r.high) for r in placed.groupBy(at["cell"].alias("cell")).agg(F.min(at["ring"]).alias("low"), F.max(at["ring"]).alias("high")).collect()}
     inner, outer = ([rings[c][i] if c in rings else none for c in range(len(pivots))] for i, none in ((0, 1 << 30), (1, -(1 << 30))))
-    copies = replicate(cores, pivots, inner, outer)
-    theirs = _with_keys(placed, pivot_keys).select(F.col("core").alias("pivot"), "cell", F.col("ring").alias("other_ring"), "k")
+    copies = replicate(_spread(cores, "cores"), pivots, inner, outer)
+    theirs = _keyed(placed).select(F.col("core").alias("pivot"), F.col("ring").alias("other_ring"), "k")
     far = F.when(F.length("core") < 6, 2).otherwise(4)
-    found = _with_keys(copies, reach_keys).join(theirs, ["cell", "k"]).where(F.abs(F.col("ring") - F.col("other_ring")) <= far).select("core", "pivot").distinct()
+    # exploded rows: their number says nothing of the small files they come from, so neither side may be broadcast
+    found = _keyed(copies).join(theirs.hint("merge"), "k").where(F.abs(F.col("ring") - F.col("other_ring")) <= far).select("core", "pivot").distinct()
     near = found.withColumn("distance", F.levenshtein("core", "pivot", 4)).where((F.col("distance") >= 0) & (F.col("distance") <= far))
+    # beyond the radius only swaps lead there, and they change no letters
+    within = F.col("distance") <= F.when(F.length("core") < 6, 1).when(F.length("core") < 12, 2).otherwise(3)
+    missing = lambda a, b: F.size(F.array_except(F.split(a, ""), F.split(b, "")))
+    near = near.where(within | (F.greatest(missing("core", "pivot"), missing("pivot", "core")) <= far - F.col("distance")))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -300,10 +328,10 @@ def follow(leader: DataFrame) -> DataFrame:
 
 
 def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence[str]) -> DataFrame:
-    """(name, official, key, name_id) of every spelling that names somebody.
+    """(name, official, key, name_id, alike) of every spelling that names somebody.
 
     ``names`` has the columns name, official, n_rows, one row a spelling; ``official`` the official spellings in
-    ``name``.  Spellings of one name share a ``name_id``.
+    ``name``.  Spellings of one name share a ``name_id``; ``alike`` is how near the core comes to the official one.
     """
     if len(payees) > MAX_PAYEE_TEXTS:
         raise ValueError("too many payee texts for a list that goes to every task")
@@ -319,7 +347,9 @@ def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence
     near = open_forms.join(reach, "core").join(pivots.withColumnRenamed("core", "pivot"), "pivot").select("key", "other", "generics", "other_generics", "distance")
     offers = exact.unionByName(_agreeing(near)).withColumn("rank", F.struct("distance", (-F.col("hit")).alias("hit"), "left"))
     best = offers.groupBy("key").agg(F.min("rank").alias("best"))
-    chosen = offers.join(best, "key").where("rank = best").groupBy("key").agg(F.min("other").alias("other"), F.count_distinct("other").alias("n")).where("n = 1").select("key", F.col("other").alias("name_id"))
+    alike = 1 - F.col("best.distance") / F.greatest(F.length(F.split_part("key", F.lit("#"), F.lit(1))), F.lit(1))
+    tied = offers.join(best, "key").where("rank = best").groupBy("key", "best").agg(F.min("other").alias("other"), F.count_distinct("other").alias("n"))
+    chosen = tied.where("n = 1").select("key", F.col("other").alias("name_id"), alike.alias("alike"))
     chosen = materialize(chosen, "chosen")
     # the rest choose pivots among themselves
     rest = materialize(keys.where("not official").join(chosen, "key", "left_anti"), "rest")
@@ -331,8 +361,9 @@ def resolve_names(spark, names: DataFrame, official: DataFrame, payees: Sequence
     weight = rest.select(F.col("key").alias("other"), F.struct("n_spellings", "n_rows", "key").alias("weight"))
     leader = _agreeing(both).select("key", "other").join(weight, "other").groupBy("key").agg(F.max("weight").getField("key").alias("leader"))
     own = follow(materialize(leader, "leaders")).select("key", F.col("leader").alias("name_id"))
-    ids = keys.where("official").select("key", F.col("key").alias("name_id")).unionByName(chosen).unionByName(own)
-    return parsed.join(ids, "key").select("name", "official", "key", "name_id", "n_rows")
+    whole = F.lit(1.0).cast("double").alias("alike")
+    ids = keys.where("official").select("key", F.col("key").alias("name_id"), whole).unionByName(chosen).unionByName(own.select("key", "name_id", whole))
+    return parsed.join(ids, "key").select("name", "official", "key", "name_id", "alike", "n_rows")
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
