@@ -2,19 +2,21 @@
 
 Each candidate pair (record, entity) is a variable between 0 and 1.  Weighted rules become hinge losses:
 
-* the names agree as far as N says           -> the match holds at least N
-* a partial identifier agrees as far as A    -> the match holds at least A
-* a place that was mentioned fits or not     -> the match holds at least L, or at most 1 - M
-* most pairs are no match                    -> the match is small
+* the names are alike as far as N says        -> the match holds at least N
+* a partial identifier agrees as far as A     -> the match holds at least A
+* a place that was mentioned fits             -> the match holds at least L
+* places that were mentioned do not fit by M  -> the match holds at most 1 - M
+* most pairs are no match                     -> the match is small
 * exclusivity: the matches of one record sum to at most one
 * transitivity: records of one name cluster match an entity alike
 
 The sum is convex.  It is minimised by the alternating direction method of multipliers: every rule keeps a copy
 of its variables, the copies are solved in closed form, averaged, and pulled together by their multipliers.
-Rules within one record are solved side by side for all records of a task.  The transitivity rule couples
-records of different tasks through one consensus value for each (cluster, entity), an average that Spark combines
-on the map side; so neither a record nor a cluster with very many rows is gathered anywhere.  The values of the
-optimum are the confidences.
+Rules within one record are solved side by side for all records of a task, until the copies agree.  The transitivity
+rule couples records of different tasks through one consensus value for each (cluster, entity), an average that Spark
+combines on the map side; so neither a record nor a cluster with very many rows is gathered anywhere.  Values and
+multipliers are kept from round to round.  A cluster is done when its copies agree with their consensus and the
+consensus stands still; later rounds touch the other clusters only.  The values of the optimum are the confidences.
 
 Defined cases: a record without candidates matches nothing; a null record, entity or cluster takes no part; two
 candidates that no rule tells apart share the confidence and neither reaches one half; an empty table gives an
@@ -23,6 +25,7 @@ empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,16 +39,22 @@ from ledgerloom.session import materialize
 
 @dataclass(frozen=True)
 class Rules:
-    """Weights of the rules, and how long they are negotiated."""
+    """Weights of the rules; when copies count as equal; most rounds, beyond which a warning tells what is open."""
 
     name: float = 3.0
     identifier: float = 3.0
     place: float = 1.5
+    misplace: float = 2.6
     prior: float = 0.8
     transitivity: float = 0.5
     rho: float = 1.0
-    inner: int = 120
-    outer: int = 4
+    within: float = 1e-3
+    inner: int = 2000
+    between: float = 5e-2
+    outer: int = 100
+
+
+COPIES = 7  # name, identifier, place, misplace, prior, transitivity, exclusivity
 
 
 def _hinge_up(v: np.ndarray, c: np.ndarray, w: float) -> np.ndarray:
@@ -58,6 +67,12 @@ def _hinge_down(v: np.ndarray, c: np.ndarray, w: float) -> np.ndarray:
     return np.where(v - w >= c, v - w, np.minimum(v, np.maximum(c, v - w)))
 
 
+def _together(v: np.ndarray, q: np.ndarray, w: float) -> tuple[np.ndarray, np.ndarray]:
+    """argmin over x and y of w * |x - y| + (x - v)^2 / 2 + (y - q)^2 / 2"""
+    step = np.clip((v - q) / 2, -w, w)
+    return v - step, q + step
+
+
 def _at_most_one(v: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     """The nearest point with no negative value and a sum of at most one in each group."""
     low, high = np.zeros(n), np.zeros(n)
@@ -70,58 +85,94 @@ def _at_most_one(v: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(v - np.where(over, high, 0)[group], 0)
 
 
-def solve(record: np.ndarray, name: np.ndarray, identifier: np.ndarray, fits: np.ndarray, misfits: np.ndarray, pull: np.ndarray, pulled: np.ndarray, rules: Rules) -> np.ndarray:
-    """The values for whole records; ``pull`` is the consensus of the transitivity rule, where ``pulled`` is 1."""
+@dataclass
+class Solved:
+    value: np.ndarray
+    multipliers: np.ndarray  # copies x pairs
+    shared: np.ndarray  # the copy of the consensus
+    rounds: int
+
+
+def solve(record: np.ndarray, name: np.ndarray, identifier: np.ndarray, fits: np.ndarray, misfits: np.ndarray, pull: np.ndarray, pulled: np.ndarray, rules: Rules, start: tuple[np.ndarray, np.ndarray] | None = None) -> Solved:
+    """The values for whole records; ``pull`` is the consensus less its multiplier, where ``pulled`` is 1.
+
+    ``start`` are values and multipliers to go on from.
+    """
     _, group = np.unique(record, return_inverse=True)
     n, k = int(group.max()) + 1 if len(group) else 0, len(record)
+    z, u = (start[0].copy(), start[1].copy()) if start else (np.full(k, 0.5), np.zeros((COPIES, k)))
+    x, shared = np.zeros((COPIES, k)), z
     up = [(name, rules.name), (identifier, rules.identifier), (fits, rules.place)]
-    down = [(1 - misfits, rules.place), (np.zeros(k), rules.prior)]
-    copies = len(up) + len(down) + 3
-    x, u = np.zeros((copies, k)), np.zeros((copies, k))
-    z = np.full(k, 0.5)
-    for _ in range(rules.inner):
+    down = [(1 - misfits, rules.misplace), (np.zeros(k), rules.prior)]
+    i = 0
+    for i in range(1, rules.inner + 1):
         v = z - u
-        i = 0
-        for c, w in up:
-            x[i] = np.where(c > 0, _hinge_up(v[i], c, w / rules.rho), v[i])
-            i += 1
-        for c, w in down:
-            x[i] = np.where(c < 1, _hinge_down(v[i], c, w / rules.rho), v[i])
-            i += 1
-        t = rules.transitivity / rules.rho
-        x[i] = np.where(pulled > 0, _hinge_up(v[i], pull, t), v[i])
-        x[i + 1] = np.where(pulled > 0, _hinge_down(v[i + 1], pull, t), v[i + 1])
-        x[i + 2] = _at_most_one(v[i + 2], group, n)
-        z = (x + u).mean(0).clip(0, 1)
+        for j, (c, w) in enumerate(up):
+            x[j] = np.where(c > 0, _hinge_up(v[j], c, w / rules.rho), v[j])
+        for j, (c, w) in enumerate(down, len(up)):
+            x[j] = np.where(c < 1, _hinge_down(v[j], c, w / rules.rho), v[j])
+        near, shared = _together(v[5], pull, rules.transitivity / rules.rho)
+        x[5] = np.where(pulled > 0, near, v[5])
+        x[6] = _at_most_one(v[6], group, n)
+        before, z = z, (x + u).mean(0).clip(0, 1)
         u += x - z
-    return z
+        if k == 0 or max(np.abs(x - z).max(), np.abs(z - before).max()) < rules.within:
+            break
+    return Solved(z, u, np.where(pulled > 0, shared, z), i)
+
+
+def _whole_records(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Batches sorted by record, put together so that no record is parted."""
+    held, n = [], 0
+    for b in batches:
+        while len(b):
+            held.append(b)
+            n += len(b)
+            b = b.iloc[:0]
+            if n >= rows:
+                all_rows = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted((all_rows["record"] == all_rows["record"].iloc[-1]).to_numpy(), True))
+                if last:
+                    yield all_rows.iloc[:last]
+                held = [all_rows.iloc[last:]]
+                n = len(held[0])
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
 def match(candidates: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(record, entity, confidence) for candidates with columns record, entity, cluster, name, identifier, fits, misfits.
 
-    One row a pair; a record's rows are its candidates, which its names and identifiers bound.
+    One row a pair; a record's rows are its candidates, which its names and identifiers bound, and name one cluster.
     """
-    state = candidates.where("record is not null and entity is not null")
-    state = materialize(state.withColumns({"pull": F.lit(0.0), "pulled": F.lit(0.0), "u": F.lit(0.0), "x": F.lit(0.0)}).repartition("record"), "match-0")
+    evidence = ["record", "entity", "cluster", "name", "identifier", "fits", "misfits"]
+    state = candidates.where("record is not null and entity is not null").select(*evidence)
+    state = state.withColumns({"pull": F.lit(0.0), "pulled": F.lit(0.0), "u": F.lit(0.0), "x": F.lit(0.5), "shared": F.lit(0.0), "copies": F.lit(None).cast("array<double>")})
     schema = state.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if parts:
-            b = pd.concat(parts, ignore_index=True)
+        for b in _whole_records(batches):
+            b = b.reset_index(drop=True)
             num = lambda c: b[c].to_numpy(float)
-            b["x"] = solve(b["record"].to_numpy(), num("name"), num("identifier"), num("fits"), num("misfits"), num("pull") - num("u"), num("pulled"), rules)
-            yield b
+            start = None if b["copies"].iloc[0] is None else (num("x"), np.stack(b["copies"].to_numpy()).T)
+            got = solve(b["record"].to_numpy(), num("name"), num("identifier"), num("fits"), num("misfits"), num("pull") - num("u"), num("pulled"), rules, start)
+            yield b.assign(x=got.value, shared=got.shared, copies=list(got.multipliers.T))
 
+    done = None
     for i in range(rules.outer):
-        # whole records of a slice of the table; the slices are as many as its size asks for
-        solved = state.repartition("record").mapInPandas(run, schema)
-        if i == rules.outer - 1:
-            return solved.select("record", "entity", F.col("x").alias("confidence"))
-        solved = materialize(solved, f"match-{i + 1}")
-        mean = solved.where("cluster is not null").groupBy("cluster", "entity").agg(F.avg(F.col("x") + F.col("u")).alias("mean"), F.count("*").alias("n"))
+        solved = materialize(state.repartition("record").sortWithinPartitions("record").mapInPandas(run, schema), f"match-{i}")
+        mean = solved.where("cluster is not null").groupBy("cluster", "entity").agg(F.avg(F.col("shared") + F.col("u")).alias("mean"), F.count("*").alias("n")).where("n > 1").drop("n")
         joined = solved.join(mean, ["cluster", "entity"], "left")
-        several = F.coalesce(F.col("n") > 1, F.lit(False))
-        state = joined.withColumns({"pull": F.when(several, F.col("mean")).otherwise(0.0), "pulled": several.cast("double"), "u": F.when(several, F.col("u") + F.col("x") - F.col("mean")).otherwise(0.0)}).select(*schema.names)
-    raise ValueError("rules.outer must be at least 1")
+        several = F.col("mean").isNotNull()
+        moved = F.when(F.col("pulled") > 0, F.abs(F.col("mean") - F.col("pull"))).otherwise(0.0)
+        rest = F.when(several, F.greatest(F.abs(F.col("shared") - F.col("mean")), moved)).otherwise(0.0)
+        joined = joined.withColumns({"rest": rest, "u": F.when(several, F.col("u") + F.col("shared") - F.col("mean")).otherwise(0.0), "pull": F.when(several, F.col("mean")).otherwise(0.0), "pulled": several.cast("double")})
+        still = joined.where(F.col("rest") > rules.between).select("cluster").distinct().withColumn("still", F.lit(True))
+        joined = materialize(joined.join(still, "cluster", "left").select(*schema.names, F.col("still").isNotNull().alias("still")), f"consensus-{i}")
+        settled = joined.where("not still").select("record", "entity", F.col("x").alias("confidence"))
+        done = settled if done is None else done.unionByName(settled)
+        state = joined.where("still").select(*schema.names)
+        if state.isEmpty():
+            return done
+    warnings.warn(f"{state.select('cluster').distinct().count()} name clusters are not settled after {rules.outer} rounds", stacklevel=2)
+    return done.unionByName(state.select("record", "entity", F.col("x").alias("confidence")))

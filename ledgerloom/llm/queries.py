@@ -72,49 +72,79 @@ def p7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_names(spark, names, official, payees).select("name", "name_id")
 
 
-#: What descriptions say of a supplier's place: a state, a postcode, or both in either order.
+#: What descriptions say of a supplier's place: a state with its postcode in either order, or a postcode, in any case.
 _STATES = r"NSW|VIC|QLD|WA|SA|TAS|ACT|NT"
-_PLACE = rf"(?:({_STATES}) ([0-9]{{4}})|(?:, |postcode |from )([0-9]{{4}})(?: ({_STATES}))?)(?![0-9])"
+_PLACE = rf"(?i)(?:({_STATES}) ([0-9]{{4}})|(?:, |postcode |from )([0-9]{{4}})(?: ({_STATES}))?)(?![0-9])"
+#: A place said in one contract only, amendments included, is often a slip: so many contracts are set against it.
+_SLIP = 1.5
+
+
+def _one_edit_away(number):
+    """The numbers that one wrong digit or one swap of neighbours leads to."""
+    n = F.length(number)
+    at = lambda f: F.flatten(F.transform(F.sequence(F.lit(1), n), f))
+    digit = F.array(*[F.lit(str(d)) for d in range(10)])
+    wrong = at(lambda i: F.transform(digit, lambda d: F.concat(F.substring(number, F.lit(1), i - 1), d, F.substring(number, i + 1, n))))
+    swap = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.substring(number, F.lit(1), i - 1), F.substring(number, i + 1, F.lit(1)), F.substring(number, i, F.lit(1)), F.substring(number, i + 2, n)))
+    return F.array_remove(F.array_distinct(F.concat(wrong, swap)), number)
+
+
+def _by_identifier(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """(record, entity, identifier) of accounts that state a register number cut at one end, or with one slip in it."""
+    parts = rows.where(F.length("stated").between(6, 10)).select("record", "stated").distinct()
+    # the few cut numbers meet the register by their six outer digits, not by all ends of all its numbers
+    end = lambda c, side: F.struct(F.lit(side).alias("side"), (F.left(c, F.lit(6)) if side == "left" else F.right(c, F.lit(6))).alias("six"))
+    ends = lambda c: F.explode(F.array(end(F.col(c), "left"), end(F.col(c), "right"))).alias("e")
+    stated = parts.select("stated").distinct().select("stated", ends("stated"))
+    cut = F.when(F.col("e.side") == "left", F.startswith("entity", "stated")).otherwise(F.endswith("entity", "stated"))
+    meet = stated.join(entities.select("entity", ends("entity")).hint("merge"), "e").where(cut).select("stated", "entity").distinct()
+    holders = meet.groupBy("stated").agg(F.count("*").alias("holders"))
+    by_part = parts.join(meet, "stated").join(holders, "stated").select("record", "entity", (F.least(F.lit(1.0), F.length("stated") / F.lit(10.0)) / F.col("holders")).alias("identifier"))
+    # a full number that the register lacks, one slip away from one that it has
+    full = rows.where(F.length("stated") == 11).select("record", "stated").distinct()
+    strange = full.select("stated").distinct().join(entities.select(F.col("entity").alias("stated")), "stated", "left_anti")
+    meant = strange.select("stated", F.explode(_one_edit_away(F.col("stated"))).alias("entity")).join(entities.hint("merge"), "entity")
+    several = meant.groupBy("stated").agg(F.count("*").alias("holders"))
+    by_slip = full.join(meant, "stated").join(several, "stated").select("record", "entity", (F.lit(0.9) / F.col("holders")).alias("identifier"))
+    return by_part.unionByName(by_slip).groupBy("record", "entity").agg(F.max("identifier").alias("identifier"))
 
 
 def account_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs of accounts and register entities with their evidence, the full numbers that accounts state)."""
     raw = table(spark, sf_dir, "raw_contract_data")
     # descriptions are long: they are searched once, and what was found is taken apart
-    part = lambda what: F.nullif(F.regexp_extract("place", what, 0), F.lit(""))
-    rows = raw.select("supplierid", "suppliername", "supplierabn", F.regexp_extract("description", _PLACE, 0).alias("place")).select(
+    part = lambda what: F.upper(F.nullif(F.regexp_extract("place", what, 0), F.lit("")))
+    rows = raw.select("supplierid", "suppliername", "supplierabn", "cnid", F.regexp_extract("description", _PLACE, 0).alias("place")).select(
         present(F.col("supplierid")).alias("record"), present(F.col("suppliername")).alias("name"), F.nullif(digits(F.col("supplierabn")), F.lit("")).alias("stated"),
-        part(_STATES).alias("state"), part("[0-9]{4}").alias("postcode"),
+        part(rf"(?i){_STATES}").alias("state"), part("[0-9]{4}").alias("postcode"), F.when(F.col("place") != "", F.coalesce(F.split_part(notice_key(F.col("cnid")), F.lit("-"), F.lit(1)), F.lit(""))).alias("contract"),
     ).where("record is not null")
-    rows = materialize(rows.groupBy("record", "name", "stated", "state", "postcode").agg(F.count("*").alias("n")), "accounts")
+    rows = materialize(rows.groupBy("record", "name", "stated", "state", "postcode").agg(F.count("*").alias("n"), F.count_distinct("contract").alias("contracts")), "accounts")
     register = table(spark, sf_dir, "raw_abr_entity").select(full_abn(F.col("abn")).alias("entity"), present(F.col("entity_name")).alias("name"), F.upper(present(F.col("state"))).alias("state"), present(F.col("postcode")).alias("postcode"), F.upper(present(F.col("name_type"))).alias("kind")).where("entity is not null")
     register = materialize(register.distinct(), "register")
-    resolved = materialize(resolve_names(spark, *_spellings(spark, sf_dir)).select("name", "name_id"), "resolved")
+    resolved = materialize(resolve_names(spark, *_spellings(spark, sf_dir)).select("name", "name_id", "alike"), "resolved")
 
-    # names: the share of an account's rows whose name is one of the entity's
-    named = rows.where("name is not null").groupBy("record", "name").agg(F.sum("n").alias("n")).join(resolved, "name").groupBy("record", "name_id").agg(F.sum("n").alias("n"))
+    # names: the share of an account's rows whose name is one of the entity's, as far as it is alike
+    named = rows.where("name is not null").groupBy("record", "name").agg(F.sum("n").alias("n")).join(resolved, "name").groupBy("record", "name_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("alike")).alias("weight"), F.max("alike").alias("alike"))
     named = materialize(named, "named")
     total = named.groupBy("record").agg(F.sum("n").alias("total"), F.max_by("name_id", F.struct("n", "name_id")).alias("cluster"))
     # a main name says more than a trading name, which may have passed on
-    owners = register.where("name is not null").join(resolved, "name").groupBy("entity", "name_id").agg(F.max(F.when(F.col("kind") == "MAIN", 1.0).otherwise(0.9)).alias("weight"))
-    by_name = named.join(owners, "name_id").groupBy("record", "entity").agg((F.sum(F.col("n") * F.col("weight"))).alias("hit")).join(total, "record").select("record", "entity", F.least(F.lit(1.0), F.col("hit") / F.col("total")).alias("name"))
-
-    # identifiers cut at the front or the back: six digits or more, the more the better
-    entities = register.select("entity").distinct()
-    parts = rows.where(F.length("stated").between(6, 10)).select("record", "stated").distinct()
-    sizes = F.explode(F.sequence(F.lit(6), F.lit(10)))
-    ends = entities.select("entity", sizes.alias("k")).select("entity", F.explode(F.array(F.expr("right(entity, k)"), F.expr("left(entity, k)"))).alias("stated")).distinct()
-    holders = ends.groupBy("stated").agg(F.count("*").alias("holders"))
-    by_part = parts.join(ends, "stated").join(holders, "stated").groupBy("record", "entity").agg(F.max(F.least(F.lit(1.0), F.length("stated") / F.lit(10.0)) / F.col("holders")).alias("identifier"))
+    owners = register.where("name is not null").join(resolved.select("name", "name_id"), "name").groupBy("entity", "name_id").agg(F.max(F.when(F.col("kind") == "MAIN", 1.0).otherwise(0.9)).alias("kind"))
+    hits = named.join(owners, "name_id").groupBy("record", "entity").agg(F.sum(F.col("weight") * F.col("kind")).alias("hit"), F.max("alike").alias("alike"))
+    by_name = hits.join(total, "record").select("record", "entity", F.least(F.lit(1.0), F.col("hit") / F.col("total")).alias("name"), "alike")
 
+    by_part = _by_identifier(rows, materialize(register.select("entity").distinct(), "entities"))
     pairs = materialize(by_name.join(by_part, ["record", "entity"], "full"), "pairs")
-    places = rows.where("state is not null or postcode is not null").groupBy("record", "state", "postcode").agg(F.sum("n").alias("n"))
+    places = rows.where("state is not null or postcode is not null").groupBy("record", "state", "postcode").agg(F.sum("contracts").alias("n"))
     homes = register.select("entity", F.col("state").alias("home_state"), F.col("postcode").alias("home_code")).where("home_state is not null or home_code is not null").distinct()
     fit = F.when(F.col("postcode").isNotNull() & F.col("home_code").isNotNull(), F.when(F.col("postcode") == F.col("home_code"), 1.0).otherwise(0.0)).when(F.col("state") == F.col("home_state"), 0.3).otherwise(0.0)
     seen = pairs.select("record", "entity").join(places, "record").join(homes, "entity").groupBy("record", "entity", "state", "postcode", "n").agg(F.max(fit).alias("fit"))
-    by_place = seen.groupBy("record", "entity").agg((F.sum(F.col("n") * F.col("fit")) / F.sum("n")).alias("fits"), (F.sum(F.col("n") * (F.col("fit") == 0).cast("int")) / F.sum("n")).alias("misfits"))
+    # slips name this place or that; a place that does not fit and is said again and again is where the account sits
+    fitting, elsewhere = F.sum(F.when(F.col("fit") > 0, F.col("n")).otherwise(0)), F.max(F.when(F.col("fit") == 0, F.col("n")).otherwise(0))
+    by_place = seen.groupBy("record", "entity").agg((F.sum(F.col("n") * F.col("fit")) / F.sum("n")).alias("fits"), (elsewhere / (elsewhere + fitting + _SLIP)).alias("misfits"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    candidates = pairs.join(by_place, ["record", "entity"], "left").join(total.select("record", "cluster"), "record", "left").select("record", "entity", "cluster", zero("name"), zero("identifier"), zero("fits"), zero("misfits"))
+    # a wrong place weighs the more the less the names are alike
+    misfits = F.least(F.lit(1.0), F.coalesce(F.col("misfits"), F.lit(0.0)) / F.pow(F.greatest(F.coalesce("alike", F.lit(1.0)), F.lit(0.5)), F.lit(2.0))).alias("misfits")
+    candidates = pairs.join(by_place, ["record", "entity"], "left").join(total.select("record", "cluster"), "record", "left").select("record", "entity", "cluster", zero("name"), zero("identifier"), zero("fits"), misfits)
     stated = rows.where(F.length("stated") == 11).select("record", F.col("stated").alias("entity")).distinct()
     return candidates, stated
 
