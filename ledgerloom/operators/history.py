@@ -1,9 +1,10 @@
 """History of changing attributes, kept by rebuilding the chains that late or corrected rows touch.
 
 Every snapshot states attributes of entities.  ``build_versions`` turns the raw statements of any set of
-entities into their versions; ``EntityHistory`` keeps those versions in a bucketed store and, for a batch of
-late or corrected rows, fetches the raw statements of the touched entities only, rebuilds all their intervals
-and replaces exactly those chains in one commit.
+entities into their versions.  ``EntityHistory`` keeps the statements and the versions in stores bucketed by entity.
+For a batch of late or corrected rows it fetches the statements of the touched entities out of their buckets,
+rebuilds all their intervals and replaces exactly those chains in one commit.  A new snapshot is such a batch too:
+an entity that it holds in the state of its open version stays untouched, because that version goes on.
 
 A version is a longest run of consecutive snapshots that hold the entity without contradiction.  Within one
 snapshot each attribute takes the last loaded statement that is not null; a null says nothing, so it neither
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import full_abn, digits, file_day, present
+from ledgerloom.session import materialize
 from ledgerloom.sources.store import SnapshotStore
 
 OPEN_END = "9999-12-31"
@@ -64,27 +66,57 @@ def build_versions(raw: DataFrame, days: Sequence[str], key: str, attributes: Se
 
 
 class EntityHistory:
-    """The versions of all entities, in a store that is changed chain by chain."""
+    """The versions of all entities, in a store that is changed chain by chain.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, attributes: Sequence[str], buckets: int = 16):
-        self.key, self.attributes = key, list(attributes)
-        self.store = SnapshotStore(spark, path, [key], buckets)
+    The statements of a batch are stored before the versions that follow from them; a batch that is applied again
+    after a failure between the two changes nothing more, because repeated rows count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, attributes: Sequence[str], day: str = "day", loaded: str = "loaded", **sizes):
+        self.key, self.attributes, self.day, self.loaded = key, list(attributes), day, loaded
+        self.store = SnapshotStore(spark, f"{path}/versions", [key], **sizes)
+        self.raw = SnapshotStore(spark, f"{path}/statements", [key], **sizes)
+
+    def _build(self, raw: DataFrame, days: Sequence[str]) -> DataFrame:
+        return build_versions(raw, days, self.key, self.attributes, self.day, self.loaded)
 
-    def load(self, raw: DataFrame, days: Sequence[str]) -> None:
-        self.store.commit(build_versions(raw, days, self.key, self.attributes), days=list(days))
+    def _statements(self, raw: DataFrame) -> DataFrame:
+        return raw.select(self.key, self.day, self.loaded, *self.attributes).where(F.col(self.key).isNotNull() & F.col(self.day).isNotNull())
 
-    def apply(self, raw: DataFrame, batch: DataFrame, days: Sequence[str]) -> None:
-        """``raw`` are all statements including those of ``batch``; only the entities in ``batch`` are rebuilt.
+    def load(self, raw: DataFrame, days: Sequence[str], rows: int | None = None) -> None:
+        self.raw.commit(self._statements(raw), rows)
+        self.store.commit(self._build(raw, days), rows, days=list(days))
 
-        Snapshot days that the stored history has not seen yet move the ends of other chains, so such a day
-        makes every entity a touched one.
-        """
-        if list(days) != self.store.meta.get("days"):
-            self.load(raw, days)
+    def apply(self, batch: DataFrame, days: Sequence[str]) -> None:
+        """Add the statements of ``batch``; ``days`` are all snapshot days by now, in order."""
+        known = self.store.meta.get("days") or []
+        batch = materialize(self._statements(batch), "batch")
+        self.raw.append(batch)
+        if list(days[: len(known)]) != known:  # a snapshot between others parts the chains of all entities that it lacks
+            self.store.commit(self._build(self.raw.read(), days), days=list(days))
             return
-        touched = batch.where(F.col(self.key).isNotNull()).select(self.key).distinct()
-        own = raw.join(touched, self.key, "left_semi")
-        self.store.replace_chains(build_versions(own, days, self.key, self.attributes), touched)
+        steps = [list(days[:n]) for n in range(len(known) + 1, len(days) + 1)] or [known]
+        for upto in steps:
+            new = upto[-1] if upto != known else None
+            own = batch.where(F.col(self.day) <= F.lit(upto[-1])) if new else batch
+            touched = self._touched(own, upto, new)
+            statements = self.raw.read_touched(touched).where(F.col(self.day).isin(upto))
+            self.store.replace_chains(self._build(statements, upto), touched, days=upto)
+            known = upto
+
+    def _touched(self, batch: DataFrame, days: Sequence[str], new: str | None) -> DataFrame:
+        """The entities whose chains change: with a new last day, all but those whose open version simply goes on."""
+        if new is None:
+            return batch.select(self.key).distinct()
+        today = build_versions(batch.where(F.col(self.day) == new), [new], self.key, self.attributes, self.day, self.loaded)
+        pack = lambda name: F.struct(*[F.col(a) for a in self.attributes]).alias(name)
+        open_ones = self.store.read().where(F.col("valid_to") == OPEN_END).select(self.key, pack("_before"))
+        both = today.select(self.key, pack("_now")).join(open_ones, self.key, "full_outer")
+        goes_on = F.lit(True)
+        for a in self.attributes:
+            goes_on = goes_on & (F.col(f"_now.{a}").isNull() | F.col(f"_now.{a}").eqNullSafe(F.col(f"_before.{a}")))
+        moved = both.where(F.col("_now").isNull() | F.col("_before").isNull() | ~goes_on).select(self.key)
+        return materialize(moved.unionByName(batch.where(F.col(self.day) < new).select(self.key)).distinct(), "touched")
 
     def read(self) -> DataFrame:
         return self.store.read()

@@ -3,7 +3,7 @@
 ``advance`` compares the open versions with the present rows: a changed checked column closes the version and
 opens another, a vanished key closes, a key that returns opens a new version, equal rows stay untouched.  Nulls
 are compared as values.  Defined cases: without a history every row opens; rows with a null key are left out;
-several rows of one key are an error of the dimension and the greatest one is taken.
+several different rows of one key are an error of the dimension and fail the run; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def advance(history: DataFrame | None, rows: DataFrame, key: str, checked: Seque
     """The history after a run, with the columns of ``rows``, valid_from and valid_to."""
     columns = rows.columns
     rest = [c for c in columns if c != key]
-    rows = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rows = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r"), F.min(F.struct(*rest)).alias("_least")).withColumn("_r", F.when(F.col("_r").eqNullSafe(F.col("_least")), F.col("_r")).otherwise(F.raise_error(F.lit(f"several rows of one {key}")))).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
     born = lambda d: d.select(*columns, run_ts.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
     if history is None:
         return born(rows)

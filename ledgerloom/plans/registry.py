@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import gold, mart, silver, staging
+from ledgerloom.session import materialize
 from ledgerloom.sources.store import SnapshotStore
 
 
@@ -21,13 +22,14 @@ class Model:
     deps: tuple[str, ...]
     build: Callable[..., DataFrame]
     persisted: bool
+    shared: bool = False  # read twice by its own plan or its consumers, so that a query writes it once
 
 
 def _models(spark: SparkSession, as_of: Column) -> dict[str, Model]:
     m: dict[str, Model] = {}
 
-    def add(name: str, layer: str, build: Callable[..., DataFrame], *deps: str, persisted: bool) -> None:
-        m[name] = Model(name, layer, deps, build, persisted)
+    def add(name: str, layer: str, build: Callable[..., DataFrame], *deps: str, persisted: bool, shared: bool = False) -> None:
+        m[name] = Model(name, layer, deps, build, persisted, shared)
 
     add("stg_contracts", "silver", staging.stage_contracts, "raw_contract_data", persisted=False)
     add("stg_abr_entity", "silver", staging.register_entity, "raw_abr_entity", persisted=True)
@@ -37,7 +39,7 @@ def _models(spark: SparkSession, as_of: Column) -> dict[str, Model]:
     add("dim_agency", "gold", gold.dim_agency, "slv_contracts", persisted=True)
     add("dim_category", "gold", gold.dim_category, "slv_contracts", persisted=True)
     add("dim_date", "gold", lambda: gold.dim_date(spark), persisted=True)
-    add("dim_supplier", "gold", gold.dim_supplier, "slv_contracts", "int_abr_name_lookup", "stg_abr_entity", persisted=True)
+    add("dim_supplier", "gold", gold.dim_supplier, "slv_contracts", "int_abr_name_lookup", "stg_abr_entity", persisted=True, shared=True)
     add("fct_contracts", "gold", gold.fct_contracts, "slv_contracts", persisted=True)
     add("rpt_contracts", "mart", lambda *d: mart.rpt_contracts(*d, as_of=as_of), "fct_contracts", "dim_supplier", "known_non_suppliers", "dim_agency", "dim_category", "dim_date", persisted=False)
     add("rpt_agency_spend", "mart", lambda c: mart.spend_by(c, "agency_name"), "rpt_contracts", persisted=False)
@@ -54,9 +56,10 @@ def _models(spark: SparkSession, as_of: Column) -> dict[str, Model]:
 class Models:
     """Builds models from the bronze tables in ``sources``.
 
-    Without a ``path`` every model is a lazy plan.  With one, ``run`` publishes the persisted models as snapshots in
-    dependency order and later models read those.  The target ``ci`` prefixes the schemas and keeps the register
-    models as views.
+    Without a ``path`` a model is a plan over work tables: what several models on the way read is written once, in the
+    shared folder.  With one, ``run`` publishes the persisted models as snapshots in dependency order and later models
+    read those.  The target ``ci`` prefixes the schemas and keeps the register models as views.  ``given`` are models
+    that are there already.
     """
 
     spark: SparkSession
@@ -64,10 +67,12 @@ class Models:
     as_of: Column = field(default_factory=F.current_date)
     path: str | None = None
     target: str = "prod"
+    given: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.models = _models(self.spark, self.as_of)
-        self._built: dict[str, DataFrame] = dict(self.sources)
+        self._built: dict[str, DataFrame] = self.sources | self.given
+        self._cut = set(self.sources) | set(self.given)
 
     def layer(self, name: str) -> str:
         return self.models[name].layer if name in self.models else "bronze"
@@ -82,26 +87,83 @@ class Models:
         ts = TopologicalSorter({n: [d for d in m.deps if d in self.models] for n, m in self.models.items()})
         return list(ts.static_order())
 
+    def _needed(self, name: str) -> set[str]:
+        """The models that ``name`` is made of and that are not there yet."""
+        own = {d for d in self.models[name].deps if d in self.models and d not in self._built} if name in self.models else set()
+        return own.union(*(self._needed(d) for d in own)) if own else own
+
+    def cut(self, name: str) -> DataFrame:
+        """The model as a work table."""
+        if name not in self._cut:
+            self._built[name] = materialize(self.build(name), name)
+            self._cut.add(name)
+        return self._built[name]
+
     def build(self, name: str) -> DataFrame:
-        if name not in self._built:
-            m = self.models[name]
-            self._built[name] = m.build(*[self.build(d) for d in m.deps])
+        if name in self._built:
+            return self._built[name]
+        needed = self._needed(name) | {name}
+        for d in self.order():
+            if d in needed and d != name and d not in self._built:
+                readers = sum(d in self.models[n].deps for n in needed)
+                self._built[d] = self._plan(d)
+                if self.path is None and (readers > 1 or self.models[d].shared):
+                    self.cut(d)
+        self._built[name] = self._plan(name)
         return self._built[name]
 
-    def run(self) -> list[str]:
-        """Publish all persisted models; a model is live only when its snapshot is complete."""
+    def _plan(self, name: str) -> DataFrame:
+        return self.models[name].build(*[self._built[d] for d in self.models[name].deps])
+
+    @classmethod
+    def declared(cls) -> Models:
+        """The models without data, for their order and lineage."""
+        models = cls.__new__(cls)
+        models.models = _models(None, None)
+        return models
+
+    def published(self) -> Models:
+        """These models as they were last published, those that are views over them included."""
+        for name in self.order():
+            if self.persisted(name) and (store := self.store(name)).exists():
+                self._built[name] = store.read()
+        return self
+
+    def run(self, full_refresh: bool = False) -> list[str]:
+        """Publish all persisted models; a model is live only when its snapshot is complete.
+
+        The fact goes on from its last snapshot: only the chains touched since are collapsed anew, and none is removed.
+        A full refresh rebuilds it.
+        """
         if self.path is None:
             raise ValueError("a path is needed to publish models")
         done = []
         for name in self.order():
             df = self.build(name)
-            if self.persisted(name):
-                store = SnapshotStore(self.spark, f"{self.path}/{self.schema_of(name)}/{name}")
+            if not self.persisted(name):
+                continue
+            if name == "fct_contracts":
+                store = self._fact(df, full_refresh)
+            else:
+                store = self.store(name)
                 store.commit(df)
-                self._built[name] = store.read()
-                done.append(name)
+            self._built[name] = store.read()
+            done.append(name)
         return done
 
+    def store(self, name: str) -> SnapshotStore:
+        return SnapshotStore(self.spark, f"{self.path}/{self.schema_of(name)}/{name}", ["contract_id"] if name == "fct_contracts" else ())
+
+    def _fact(self, rebuilt: DataFrame, full_refresh: bool) -> SnapshotStore:
+        store, silver = self.store("fct_contracts"), self._built["slv_contracts"]
+        if full_refresh or not store.exists() or set(store.read().columns) != set(rebuilt.columns):
+            store.commit(rebuilt, silver.count())
+            return store
+        touched = materialize(gold.affected_chains(silver, store.read()), "touched")
+        own = gold.with_chain(silver).join(touched, "base_id", "left_semi").drop("base_id", "amendment_no")
+        store.replace_chains(gold.fct_contracts(own), touched.withColumnRenamed("base_id", "contract_id"))
+        return store
+
     def edges(self) -> list[tuple[str, str]]:
         return sorted((d, n) for n, m in self.models.items() for d in m.deps)
 

@@ -36,10 +36,10 @@ def stage_contracts(raw: DataFrame) -> DataFrame:
 
 
 def latest_delivery(raw: DataFrame) -> DataFrame:
-    """The rows of the newest file day: each register load replaces the one before."""
+    """The rows of the newest file day: each register load replaces the one before.  One text reaches the driver."""
     day = file_day(F.col("_source_file"))
-    newest = raw.agg(F.max(day).alias("_newest"))
-    return raw.withColumn("_day", day).join(newest, F.col("_day") == F.col("_newest"), "left_semi").drop("_day")
+    newest = raw.agg(F.max(day)).first()[0]
+    return raw.where(day == F.lit(newest))
 
 
 def register_entity(raw: DataFrame) -> DataFrame:

@@ -12,16 +12,18 @@ from ledgerloom.operators import quality
 from ledgerloom.operators.merge import load, merge
 from ledgerloom.operators.scd2 import advance
 from ledgerloom.functions.text import file_day
-from ledgerloom.plans import gold, mart, measures, staging
+from ledgerloom.plans import checks, gold, mart, measures, staging
 from ledgerloom.plans.registry import Models
 from ledgerloom.plans.silver import dedup_notices
 from ledgerloom.session import fresh_path, materialize, table
+from ledgerloom.sources.files import CONTRACT_COLUMNS, read_contracts_csv, read_register_xml
 from ledgerloom.sources.store import SnapshotStore
 from ledgerloom.streaming import cdc
 
 AS_OF = "2024-03-31"
-RUN_1, RUN_2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
-TEXT_COLUMNS = ("agencyname", "value", "suppliername", "description", "publishdate", "contractstart", "contractend", "procurementmethod", "category", "agencyabn", "supplierabn", "categoryunspsc", "supplierid", "sourceurl")
+#: The times of the loads, a month apart.
+RUNS = tuple(f"{2024 + n // 12}-{n % 12 + 1:02d}-01 00:00:00" for n in range(120))
+TEXT_COLUMNS = tuple(c for c in CONTRACT_COLUMNS if c != "cnid")
 REGISTER_COLUMNS = ["abn", "abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "entity_name", "name_type", "state", "postcode"]
 CHECKED = ("abr_entity_name", "abr_entity_type", "abr_abn_status", "supplier_abn_is_placeholder")
 
@@ -61,91 +63,68 @@ def top_suppliers(spark, sf_dir):
     return mart.top_suppliers(models(spark, sf_dir).build("rpt_supplier_spend"), 20)
 
 
-# loads: each delivery as a scratch table with one row a key
+# loads: every delivery in order, each as a scratch table with one row a key
 
 
-def _delivery(spark, sf_dir, n: int) -> DataFrame:
-    """The n-th delivery, one row a notice key: the last loaded, then the greatest row number."""
-    raw = bronze(spark, sf_dir)["raw_contract_data"].withColumn("_day", file_day(F.col("_source_file")))
-    days = raw.where("_day is not null").groupBy("_day").agg(F.lit(1).alias("x")).withColumn("_at", F.row_number().over(Window.orderBy("_day"))).where(f"_at = {n}").select("_day")
-    rows = raw.join(days, "_day", "left_semi").where("cnid is not null")
-    first = Window.partitionBy("cnid").orderBy(F.desc("_loaded_at"), F.desc("row_id"))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("cnid", *TEXT_COLUMNS)
-
-
-def _loaded(spark, sf_dir, mode: str) -> DataFrame:
-    first = load(None, _delivery(spark, sf_dir, 1), "full", "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_1))
-    return load(first, _delivery(spark, sf_dir, 2), mode, "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_2))
-
-
-def delta_merge(spark, sf_dir):
-    return _loaded(spark, sf_dir, "delta")
-
-
-def incremental_load(spark, sf_dir):
-    return _loaded(spark, sf_dir, "incremental")
-
-
-def full_load(spark, sf_dir):
-    return _loaded(spark, sf_dir, "full")
-
-
-def prune_missing(spark, sf_dir):
-    """The keys that a delta load removes."""
-    first = load(None, _delivery(spark, sf_dir, 1), "full", "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_1))
-    return merge(first, _delivery(spark, sf_dir, 2), "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_2), prune=True, actions=True).where("_action = 'delete'").select("cnid")
-
-
-# the same over all deliveries in order; the queries above stop at the second, as their SQL does
-
+def _run(n: int):
+    return _ts(RUNS[n - 1])
 
-def _days(spark, sf_dir, name: str) -> list:
-    """The file days of a table; deliveries and extracts, few."""
-    day = file_day(F.col("_source_file"))
-    return [r[0] for r in table(spark, sf_dir, name).select(day.alias("d")).where("d is not null").distinct().orderBy("d").collect()]
 
-
-def _run(n: int):
-    """The time of the n-th load, a month after the one before; the first two are RUN_1 and RUN_2."""
-    return F.add_months(_ts(RUN_1), n - 1).cast("timestamp_ntz")
+def _deliveries(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """All deliveries with one row a day and notice key, the last loaded, then the greatest row number; and their days, few."""
+    raw = bronze(spark, sf_dir)["raw_contract_data"].withColumn("_day", file_day(F.col("_source_file"))).where("_day is not null and cnid is not null")
+    first = Window.partitionBy("_day", "cnid").orderBy(F.desc("_loaded_at"), F.desc("row_id"))
+    rows = raw.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_day", "cnid", *TEXT_COLUMNS)
+    rows = materialize(rows, "deliveries")
+    return rows, [r[0] for r in rows.select("_day").distinct().orderBy("_day").collect()]
 
 
 def _steps(spark, sf_dir):
-    """(load time, delivery) of every delivery, the oldest first."""
-    for n in range(1, len(_days(spark, sf_dir, "raw_contract_data")) + 1):
-        yield _run(n), materialize(_delivery(spark, sf_dir, n), "delivery")
+    """(load time, delivery) of every delivery, the oldest first; an empty one where there is none."""
+    rows, days = _deliveries(spark, sf_dir)
+    for n, day in enumerate(days or [""], 1):
+        yield _run(n), rows.where(F.col("_day") == day).drop("_day")
 
 
-def _all_loaded(spark, sf_dir, mode: str) -> DataFrame:
+def _loaded(spark, sf_dir, mode: str) -> DataFrame:
     state = None
     for at, rows in _steps(spark, sf_dir):
-        state = materialize(load(state, rows, mode, "cnid", TEXT_COLUMNS, "_loaded_at", at), "loaded")
-    return _delivery(spark, sf_dir, 1).withColumn("_loaded_at", _run(1)) if state is None else state
+        state = load(state, rows, mode, "cnid", TEXT_COLUMNS, "_loaded_at", at)
+        state = state if mode == "full" else materialize(state, "loaded")
+    return state
 
 
-def delta_merge_all(spark, sf_dir):
-    return _all_loaded(spark, sf_dir, "delta")
+def delta_merge(spark, sf_dir):
+    return _loaded(spark, sf_dir, "delta")
 
 
-def incremental_load_all(spark, sf_dir):
-    return _all_loaded(spark, sf_dir, "incremental")
+def incremental_load(spark, sf_dir):
+    return _loaded(spark, sf_dir, "incremental")
 
 
-def full_load_all(spark, sf_dir):
-    return _all_loaded(spark, sf_dir, "full")
+def full_load(spark, sf_dir):
+    return _loaded(spark, sf_dir, "full")
 
 
-def prune_missing_all(spark, sf_dir):
-    """The keys that each delta load removes, and when; a key that returns can go again."""
-    gone = _delivery(spark, sf_dir, 1).where("false").select("cnid", _run(1).alias("_removed_at"))
+def _merges(spark, sf_dir):
+    """(load time, state before, merged rows with their actions) of every delta load after the first."""
     state = None
     for at, rows in _steps(spark, sf_dir):
         if state is None:
-            state = materialize(load(None, rows, "full", "cnid", TEXT_COLUMNS, "_loaded_at", at), "loaded")
+            state = load(None, rows, "full", "cnid", TEXT_COLUMNS, "_loaded_at", at)
+            yield at, None, state
             continue
         merged = materialize(merge(state, rows, "cnid", TEXT_COLUMNS, "_loaded_at", at, prune=True, actions=True), "merged")
-        gone = gone.unionByName(merged.where("_action = 'delete'").select("cnid", at.alias("_removed_at")))
+        yield at, state, merged
         state = merged.where("_action <> 'delete'").drop("_action")
+
+
+def prune_missing(spark, sf_dir):
+    """The keys that each delta load removes, and when; a key that returns can go again."""
+    gone = None
+    for at, before, merged in _merges(spark, sf_dir):
+        own = (merged.where("false") if before is None else merged.where("_action = 'delete'")).select("cnid", at.alias("_removed_at"))
+        gone = own if gone is None else gone.unionByName(own)
     return gone
 
 
@@ -175,37 +154,65 @@ def gold_drift(spark, sf_dir):
     return quality.gold_drift(silver, fact)
 
 
-# history of the supplier dimension over two states of the register
+# history of the supplier dimension over all states of the register
 
 
 def scd2_history(spark, sf_dir):
+    """The supplier dimension as every extract of the register in order made it."""
     b = bronze(spark, sf_dir)
     columns = ("supplier_key", "supplier_name", "supplier_abn", *CHECKED)
-    now = Models(spark, b).build("dim_supplier").select(*columns)
-    old = table(spark, sf_dir, "raw_abr_entity")
-    oldest = old.agg(F.min(file_day(F.col("_source_file"))).alias("_first"))
-    old = old.withColumn("_day", file_day(F.col("_source_file"))).join(oldest, F.col("_day") == F.col("_first"), "left_semi").drop("_day")
-    old = staging.null_tokens(old, ["abn", "abn_status", "entity_type_text", "entity_name", "name_type"])
-    before = Models(spark, b | {"raw_abr_entity": old}).build("dim_supplier").select(*columns)
-    history = advance(None, before, "supplier_key", CHECKED, _ts(RUN_1))
-    return mart.rpt_supplier_history(advance(materialize(history, "history"), now, "supplier_key", CHECKED, _ts(RUN_2)))
-
-
-def scd2_history_all(spark, sf_dir):
-    """Over every extract of the register in order."""
-    b = bronze(spark, sf_dir)
-    columns = ("supplier_key", "supplier_name", "supplier_abn", *CHECKED)
-    register = table(spark, sf_dir, "raw_abr_entity")
+    register = table(spark, sf_dir, "raw_abr_entity").withColumn("_day", file_day(F.col("_source_file"))).where("_day is not null")
+    days = [r[0] for r in register.select("_day").distinct().orderBy("_day").collect()]
+    silver = Models(spark, b).cut("slv_contracts")
     history = None
-    for n, day in enumerate(_days(spark, sf_dir, "raw_abr_entity"), 1):
-        extract = staging.null_tokens(register.where(file_day(F.col("_source_file")) == F.lit(day)), REGISTER_COLUMNS)
-        now = Models(spark, b | {"raw_abr_entity": extract}).build("dim_supplier").select(*columns)
+    for n, day in enumerate(days or [""], 1):
+        extract = staging.null_tokens(register.where(F.col("_day") == day).drop("_day"), REGISTER_COLUMNS)
+        now = Models(spark, b | {"raw_abr_entity": extract}, given={"slv_contracts": silver}).build("dim_supplier").select(*columns)
         history = materialize(advance(history, now, "supplier_key", CHECKED, _run(n)), "history")
-    if history is None:
-        history = advance(None, Models(spark, b).build("dim_supplier").select(*columns), "supplier_key", CHECKED, _run(1))
     return mart.rpt_supplier_history(history)
 
 
+# sources: the tables written as files and read back by the loaders
+
+
+def csv_source(spark, sf_dir):
+    """All notices as CSV files, through the reader of deliveries."""
+    home = fresh_path(spark, "csv")
+    raw = table(spark, sf_dir, "raw_contract_data").select(*CONTRACT_COLUMNS)
+    raw.write.csv(home, header=True, quoteAll=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_contracts_csv(spark, home, _run(1)).drop("_source_file")
+
+
+def _register_file(spark, sf_dir) -> str:
+    """The newest extract as register XML, a record a number: its names sorted, main ones first."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    attribute = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), safe(c), F.lit('"')), F.lit(""))
+    element = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), safe(c), F.lit(f"</{name}>")), F.lit(""))
+    rows = bronze(spark, sf_dir)["raw_abr_entity"].withColumn("abn", F.trim("abn")).where("abn <> ''")
+    name = F.struct(~F.coalesce(F.col("name_type") == "MAIN", F.lit(False)), "entity_name", "name_type")
+    plain = ("abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "state", "postcode")
+    records = rows.groupBy("abn").agg(F.sort_array(F.collect_list(F.when(F.trim("entity_name") != "", name))).alias("names"), *[F.min(c).alias(c) for c in plain])
+    kind = lambda n: F.when(n["name_type"] == "MAIN", "MN").otherwise(n["name_type"])
+    names = F.transform("names", lambda n: F.concat(F.lit("<OtherEntity><NonIndividualName"), attribute("type", kind(n)), F.lit(">"), element("NonIndividualNameText", n["entity_name"]), F.lit("</NonIndividualName></OtherEntity>")))
+    place = F.concat(F.lit("<MainEntity><BusinessAddress><AddressDetails>"), element("State", F.col("state")), element("Postcode", F.col("postcode")), F.lit("</AddressDetails></BusinessAddress></MainEntity>"))
+    number = F.concat(F.lit("<ABN"), attribute("status", F.col("abn_status")), attribute("ABNStatusFromDate", F.col("abn_status_from_date")), F.lit(">"), safe(F.col("abn")), F.lit("</ABN>"))
+    kinds = F.concat(F.lit("<EntityType>"), element("EntityTypeInd", F.col("entity_type_ind")), element("EntityTypeText", F.col("entity_type_text")), F.lit("</EntityType>"))
+    home = fresh_path(spark, "xml")
+    records.select(F.concat(F.lit("<ABR>"), number, kinds, place, F.array_join(names, ""), F.lit("</ABR>"))).write.text(home)
+    return home
+
+
+def register_xml(spark, sf_dir):
+    """The newest extract as XML, through the register's reader: a row a name."""
+    return read_register_xml(spark, _register_file(spark, sf_dir), _run(1)).drop("_source_file")
+
+
+def record_names(spark, sf_dir):
+    """How many names each number has, and its canonical one."""
+    rows = register_xml(spark, sf_dir)
+    return rows.groupBy("abn").agg(F.max(F.when(F.col("name_type") == "MAIN", F.col("entity_name"))).alias("main_name"), F.count("*").alias("names"))
+
+
 # checks; those that are empty by construction get input that breaks them
 
 
@@ -263,6 +270,15 @@ def freshness(spark, sf_dir):
     return quality.freshness(table(spark, sf_dir, "raw_contract_data"), "_loaded_at", F.lit(AS_OF))
 
 
+def build_checks(spark, sf_dir):
+    """All declared checks of a build, with their counts and status."""
+    m = models(spark, sf_dir)
+    for name in checks.READ_OFTEN:
+        m.cut(name)
+    history = mart.rpt_supplier_history(advance(None, m.build("dim_supplier").select("supplier_key", *CHECKED), "supplier_key", CHECKED, _run(1)))
+    return checks.report(lambda name: history if name == "rpt_supplier_history" else m.build(name))
+
+
 def measures_total(spark, sf_dir):
     return measures.totals(models(spark, sf_dir).build("rpt_contracts"), "agency_name")
 
@@ -291,33 +307,15 @@ def row_policy(spark, sf_dir):
 
 
 def cdc_merge(spark, sf_dir):
-    """The second delivery's changes, read as a stream and merged into the mirror of the first."""
+    """The changes of every delivery after the first, read as a stream and merged into the mirror of the first."""
     home = fresh_path(spark, "cdc")
-    first = materialize(load(None, _delivery(spark, sf_dir, 1), "full", "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_1)), "first")
-    merged = merge(first, _delivery(spark, sf_dir, 2), "cnid", TEXT_COLUMNS, "_loaded_at", _ts(RUN_2), prune=True, actions=True)
-    cdc.change_log(first, merged, "cnid").write.parquet(f"{home}/log")
-    store = SnapshotStore(spark, f"{home}/mirror")
-    store.commit(cdc.mirror(first).withColumn("_merged_at", _ts(RUN_1)))
-    cdc.start_merge(spark, f"{home}/log", store, f"{home}/checkpoint", _ts(RUN_2), availableNow=True).awaitTermination()
-    return store.read()
-
-
-def cdc_merge_all(spark, sf_dir):
-    """The changes of every delivery after the first, each read as a stream and merged into the mirror."""
-    home = fresh_path(spark, "cdc")
-    store = SnapshotStore(spark, f"{home}/mirror")
-    state = None
-    for at, rows in _steps(spark, sf_dir):
-        if state is None:
-            state = materialize(load(None, rows, "full", "cnid", TEXT_COLUMNS, "_loaded_at", at), "first")
-            store.commit(cdc.mirror(state).withColumn("_merged_at", at))
+    store = SnapshotStore(spark, f"{home}/mirror", ["contract_id"])
+    for n, (at, before, merged) in enumerate(_merges(spark, sf_dir)):
+        if before is None:
+            store.commit(cdc.mirror(merged).withColumn("_merged_at", at))
             continue
-        merged = materialize(merge(state, rows, "cnid", TEXT_COLUMNS, "_loaded_at", at, prune=True, actions=True), "merged")
-        cdc.change_log(state, merged, "cnid").write.mode("append").parquet(f"{home}/log")
+        cdc.change_log(before, merged, "cnid", n).write.mode("append").parquet(f"{home}/log")
         cdc.start_merge(spark, f"{home}/log", store, f"{home}/checkpoint", at, availableNow=True).awaitTermination()
-        state = merged.where("_action <> 'delete'").drop("_action")
-    if state is None:
-        store.commit(cdc.mirror(_delivery(spark, sf_dir, 1).withColumn("_loaded_at", _run(1))).withColumn("_merged_at", _run(1)))
     return store.read()
 
 
@@ -342,7 +340,6 @@ QUERIES = {name: _model(m) for name, m in _NAMES.items()} | {
     for f in (
         amendment_parse, top_suppliers, delta_merge, incremental_load, full_load, prune_missing, fact_incremental, affected_chains, gold_drift, scd2_history, mart_reconcile, fk_orphans, unique_violations,
         not_null_violations, accepted_values, abn_sentinel, placeholder_values, rollup_merge_check, name_match_check, one_row_per_abn, freshness, measures_total, measure_prior_year, measure_yoy, measure_ytd,
-        masked_contracts, row_policy, cdc_merge, dynamic_agency_spend,
-        delta_merge_all, incremental_load_all, full_load_all, prune_missing_all, scd2_history_all, cdc_merge_all,
+        masked_contracts, row_policy, cdc_merge, dynamic_agency_spend, build_checks, csv_source, register_xml, record_names,
     )
 }

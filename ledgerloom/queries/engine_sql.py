@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries.engine import AS_OF, RUN_1, RUN_2, TEXT_COLUMNS
+from ledgerloom.plans import checks
+from ledgerloom.queries.engine import AS_OF, RUNS, TEXT_COLUMNS
 
 _NT = lambda c: f"CASE WHEN {c} IN ('', 'NULL', 'null') THEN NULL ELSE {c} END"
 _CL = lambda c: f"nullif(trim({_NT(c)}), '')"
@@ -29,9 +30,9 @@ def _slv(name: str, source: str) -> str:
  FROM {source} WHERE contract_id IS NOT NULL) WHERE n = 1 AND contract_value > 0)"""
 
 
-def _register(prefix: str, pick: str) -> str:
+def _register(prefix: str, day: str) -> str:
     return f"""{prefix}r AS (SELECT {", ".join(f"{_NT(c)} AS {c}" for c in ("abn", "abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "entity_name", "name_type", "state", "postcode"))}, _loaded_at, _source_file
- FROM raw_abr_entity WHERE {_FILE} = (SELECT {pick}({_FILE}) FROM raw_abr_entity)),
+ FROM raw_abr_entity WHERE {_FILE} = ({day})),
 {prefix}ent AS (SELECT nullif(trim(abn), '') AS abn, nullif(trim(abn_status), '') AS abn_status, CASE WHEN regexp_matches(abn_status_from_date, '^[0-9]{{8}}$') THEN try_strptime(abn_status_from_date, '%Y%m%d')::date END AS abn_status_from_date,
  nullif(trim(entity_type_ind), '') AS entity_type_ind, nullif(trim(entity_type_text), '') AS entity_type_text, nullif(trim(entity_name), '') AS entity_name, nullif(trim(state), '') AS state, nullif(trim(postcode), '') AS postcode,
  coalesce(entity_type_text ILIKE '%government%', false) AS is_government_entity, _loaded_at AS loaded_at, _source_file AS source_file
@@ -69,7 +70,7 @@ _RPT = f"""rpt AS (SELECT f.contract_id, source_notice_id, amendment_no, supplie
  FROM fct f LEFT JOIN sup s USING (supplier_key) LEFT JOIN known_non_suppliers ns ON ns.normalized_name = {_NORM("supplier_name")} LEFT JOIN agy a USING (agency_key) LEFT JOIN cat c USING (category_key) LEFT JOIN dts d ON f.publish_date_key = d.date_key)"""
 _SPEND = f"sum(contract_value)::{_M} AS total_spend, sum(CASE WHEN is_attributable THEN contract_value ELSE 0 END)::{_M} AS attributable_spend"
 _SSP = f"ssp AS (SELECT supplier_entity_key, max(supplier_entity_name) AS supplier_entity_name, bool_and(is_attributable) AS is_attributable, count(*) AS contracts, {_SPEND} FROM rpt GROUP BY supplier_entity_key)"
-_ALL = ", ".join([_STG, _slv("slv", "stg"), _register("", "max"), _supplier(""), _fct("fct", "slv"), _DAYS, _DIMS, _RPT, _SSP])
+_ALL = ", ".join([_STG, _slv("slv", "stg"), _register("", f"SELECT max({_FILE}) FROM raw_abr_entity"), _supplier(""), _fct("fct", "slv"), _DAYS, _DIMS, _RPT, _SSP])
 _W = f"WITH {_ALL} "
 _EARLY = f"{_ALL}, stg0 AS (SELECT * FROM stg WHERE loaded_at < TIMESTAMP '2023-09-01'), {_slv('slv0', 'stg0')}, {_fct('fct0', 'slv0')}"
 _TOUCHED = f"touched AS (SELECT DISTINCT {_BASE} AS base_id FROM slv WHERE loaded_at > (SELECT max(loaded_at) FROM fct0))"
@@ -80,18 +81,91 @@ def _by(name: str) -> str:
 
 
 _COLS = ", ".join(TEXT_COLUMNS)
+# the test tables have four deliveries and five extracts: each gets its step
+_DELIVERIES, _EXTRACTS = 4, 5
+_T = lambda n: f"TIMESTAMP '{RUNS[n - 1]}'"
+
+
+def _delivery(n: int) -> str:
+    return f"d{n} AS (SELECT cnid, {_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY cnid ORDER BY la DESC, row_id DESC) AS x FROM b WHERE cnid IS NOT NULL AND day = (SELECT day FROM days WHERE n = {n})) WHERE x = 1)"
+
+
 _DELIV = f"""b AS (SELECT {_NT("cnid")} AS cnid, {", ".join(f"{_NT(c)} AS {c}" for c in TEXT_COLUMNS)}, _loaded_at AS la, row_id, {_FILE} AS day FROM raw_contract_data),
 days AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM b WHERE day IS NOT NULL)),
-d1 AS (SELECT cnid, {_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY cnid ORDER BY la DESC, row_id DESC) AS x FROM b WHERE cnid IS NOT NULL AND day = (SELECT day FROM days WHERE n = 1)) WHERE x = 1),
-d2 AS (SELECT cnid, {_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY cnid ORDER BY la DESC, row_id DESC) AS x FROM b WHERE cnid IS NOT NULL AND day = (SELECT day FROM days WHERE n = 2)) WHERE x = 1)"""
-_SAME = "(" + ", ".join(f"d1.{c}" for c in TEXT_COLUMNS) + ") IS NOT DISTINCT FROM (" + ", ".join(f"d2.{c}" for c in TEXT_COLUMNS) + ")"
-_STAMP = f"CASE WHEN d1.cnid IS NOT NULL AND {_SAME} THEN TIMESTAMP '{RUN_1}' ELSE TIMESTAMP '{RUN_2}' END"
-_D2 = ", ".join(f"d2.{c}" for c in TEXT_COLUMNS)
-_MIRROR = "agencyname AS agency_name, suppliername AS supplier_name, try_cast(value AS decimal(18,2)) AS contract_value"
+""" + ",\n".join(_delivery(n) for n in range(1, _DELIVERIES + 1))
+
+
+def _stamped(n: int, source: str) -> str:
+    """The rows of a source, stamped by load n where the target lacks them or holds another content."""
+    same = "(" + ", ".join(f"t.{c}" for c in TEXT_COLUMNS) + ") IS NOT DISTINCT FROM (" + ", ".join(f"s.{c}" for c in TEXT_COLUMNS) + ")"
+    return f"SELECT s.cnid, {', '.join(f's.{c}' for c in TEXT_COLUMNS)}, CASE WHEN t.cnid IS NOT NULL AND {same} THEN t._loaded_at ELSE {_T(n)} END AS _loaded_at FROM {source} AS s LEFT JOIN t{n - 1} AS t USING (cnid)"
+
+
+_FIRST = f"t1 AS (SELECT *, {_T(1)} AS _loaded_at FROM d1)"
+_DELTA = ", ".join([_DELIV, _FIRST, *(f"t{n} AS ({_stamped(n, f'd{n}')})" for n in range(2, _DELIVERIES + 1))])
+_INCREMENTAL = ", ".join(
+    [_DELIV, _FIRST]
+    + [f"s{n} AS (SELECT * FROM d{n} WHERE publishdate >= (SELECT max(publishdate) FROM t{n - 1})), t{n} AS ({_stamped(n, f's{n}')} UNION ALL SELECT * FROM t{n - 1} ANTI JOIN s{n} USING (cnid))" for n in range(2, _DELIVERIES + 1)]
+)
+_LAST = f"t{_DELIVERIES}"
 _CHECKED = ("abr_entity_name", "abr_entity_type", "abr_abn_status", "supplier_abn_is_placeholder")
 _HCOLS = "supplier_key, supplier_name, supplier_abn, " + ", ".join(_CHECKED)
 _HSAME = "(" + ", ".join("o." + c for c in _CHECKED) + ") IS NOT DISTINCT FROM (" + ", ".join("n." + c for c in _CHECKED) + ")"
-_H = lambda p: _HCOLS.replace("supplier_key", f"{p}.supplier_key").replace("supplier_name", f"{p}.supplier_name", 1).replace(" supplier_abn,", f" {p}.supplier_abn,").replace("abr_entity_name", f"{p}.abr_entity_name").replace("abr_entity_type", f"{p}.abr_entity_type").replace("abr_abn_status", f"{p}.abr_abn_status").replace("supplier_abn_is", f"{p}.supplier_abn_is")
+
+
+def _history() -> str:
+    """h1 to h5: the history after each extract."""
+    parts = [f"rdays AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT {_FILE} AS day FROM raw_abr_entity) WHERE day IS NOT NULL)"]
+    for n in range(1, _EXTRACTS + 1):
+        x = f"x{n}_"
+        parts += [_register(x, f"SELECT day FROM rdays WHERE n = {n}"), _supplier(x), f"n{n} AS (SELECT {_HCOLS} FROM {x}sup)"]
+        if n == 1:
+            parts.append(f"h1 AS (SELECT *, {_T(1)} AS valid_from, NULL::timestamp AS valid_to FROM n1)")
+            continue
+        parts.append(f"""h{n} AS (SELECT * FROM h{n - 1} WHERE valid_to IS NOT NULL
+ UNION ALL SELECT o.* REPLACE (CASE WHEN n.supplier_key IS NULL OR NOT ({_HSAME}) THEN {_T(n)} END AS valid_to) FROM h{n - 1} o LEFT JOIN n{n} n USING (supplier_key) WHERE o.valid_to IS NULL
+ UNION ALL SELECT n.*, {_T(n)}, NULL FROM n{n} n LEFT JOIN (SELECT * FROM h{n - 1} WHERE valid_to IS NULL) o USING (supplier_key) WHERE o.supplier_key IS NULL OR NOT ({_HSAME}))""")
+    return ", ".join(parts)
+
+
+#: The common table expression of each model.
+_MODEL = {
+    "stg_contracts": "stg", "stg_abr_entity": "ent", "stg_abr_names": "nam", "slv_contracts": "slv", "int_abr_name_lookup": "lk", "dim_supplier": "sup", "dim_agency": "agy", "dim_category": "cat", "dim_date": "dts", "fct_contracts": "fct",
+    "rpt_contracts": "rpt", "rpt_supplier_spend": "ssp", "rpt_agency_spend": "asp", "rpt_category_spend": "csp", "rpt_bi_dim_agency": "agy", "rpt_bi_dim_category": "cat", "rpt_bi_dim_supplier": "bis", "rpt_bi_dim_date": "dts", "rpt_supplier_history": "his",
+}
+
+
+def _checks() -> str:
+    def line(check: str, model: str, column: str, n: str, severity: str = "error") -> str:
+        return f"SELECT '{check}' AS \"check\", '{model}' AS model, '{column}' AS \"column\", ({n}) AS n, '{severity}' AS severity"
+
+    count = lambda what: f"SELECT count(*) FROM {what}"
+    repeated = lambda model, c: count(f"(SELECT {c} FROM {_MODEL[model]} WHERE {c} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
+    own = "abn_source = 'stated' AND NOT supplier_abn_is_placeholder AND abr_entity_name IS NOT NULL"
+    lines = [line("not_null", m, c, count(f"{_MODEL[m]} WHERE {c} IS NULL")) for m, columns in checks.NOT_NULL.items() for c in columns]
+    lines += [line("unique", m, c, repeated(m, c)) for m, columns in checks.UNIQUE.items() for c in columns]
+    lines += [line("accepted_values", m, c, count(f"(SELECT DISTINCT {c} FROM {_MODEL[m]} WHERE {c} NOT IN ({', '.join(repr(v) for v in values)}))")) for (m, c), values in checks.ACCEPTED.items()]
+    lines += [line("relationships", m, c, count(f"(SELECT DISTINCT {c} FROM {_MODEL[m]} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {key} FROM {_MODEL[parent]}))")) for m, c, parent, key in checks.REFERENCES]
+    lines += [
+        line("one_row_per_abn", "stg_abr_entity", "abn", repeated("stg_abr_entity", "abn")),
+        line("gold_drift", "fct_contracts", "contract_id", count(f"(SELECT contract_id, ({_DRIFT}) AS c FROM fct) a FULL JOIN (SELECT {_BASE} AS contract_id, ({_DRIFT}) AS c FROM slv QUALIFY row_number() OVER (PARTITION BY {_BASE} ORDER BY {_AMEND} DESC, loaded_at DESC NULLS FIRST, slv.contract_id DESC) = 1) e USING (contract_id) WHERE a.c IS DISTINCT FROM e.c")),
+        line("mart_reconcile", "rpt_supplier_spend", "total_spend", "SELECT ((SELECT sum(contract_value) FROM fct) IS DISTINCT FROM (SELECT sum(total_spend) FROM ssp))::bigint"),
+        line("name_match", "dim_supplier", "supplier_entity_key", count(f"sup WHERE abn_source = 'abr_name_match' AND supplier_entity_key IN (SELECT supplier_entity_key FROM sup WHERE {own})")),
+        line("abn_sentinel", "stg_contracts", "supplier_abn", "SELECT coalesce(max(1), 0) FROM stg WHERE supplier_abn = '0'"),
+        line("rollup_merge", "dim_supplier", "supplier_entity_key", count("(SELECT 1 FROM sup WHERE abr_entity_name IS NOT NULL AND NOT supplier_abn_is_placeholder GROUP BY supplier_entity_key, supplier_entity_name HAVING count(DISTINCT supplier_abn) > 1)")),
+        line("placeholder_values", "fct_contracts", "contract_value", count("fct WHERE contract_value = 1"), "warn"),
+    ]
+    more = f"asp AS ({_by('agency_name').removeprefix(_W)}), csp AS ({_by('category_name').removeprefix(_W)}), bis AS (SELECT supplier_entity_key FROM sup GROUP BY 1), his AS (SELECT true AS is_current FROM sup)"
+    return f"WITH {_ALL}, {more}, c AS ({' UNION ALL '.join(lines)}) SELECT *, CASE WHEN n = 0 THEN 'pass' ELSE severity END AS status FROM c"
+
+
+_XML = f"""WITH {_register("", f"SELECT max({_FILE}) FROM raw_abr_entity")},
+g AS (SELECT trim(abn) AS abn, {", ".join(f"min({c}) AS {c}" for c in ("abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", "state", "postcode"))} FROM r WHERE trim(abn) <> '' GROUP BY 1),
+n AS (SELECT trim(abn) AS abn, entity_name, name_type, row_number() OVER (PARTITION BY trim(abn) ORDER BY coalesce(name_type = 'MAIN', false) DESC, entity_name, name_type NULLS FIRST) AS k FROM r WHERE trim(entity_name) <> ''),
+m AS (SELECT *, row_number() OVER (PARTITION BY abn ORDER BY CASE name_type WHEN 'MAIN' THEN 0 WHEN 'LGL' THEN 1 ELSE 2 END, k) AS c FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY abn, upper(trim(entity_name)) ORDER BY c <> 1, k) AS d FROM m),
+x AS (SELECT g.abn, abn_status, abn_status_from_date, entity_type_ind, entity_type_text, trim(entity_name) AS entity_name, CASE WHEN c = 1 THEN 'MAIN' WHEN name_type = 'MAIN' THEN 'MN' ELSE coalesce(name_type, 'UNK') END AS name_type, state, postcode, {_T(1)} AS _loaded_at
+ FROM g JOIN o USING (abn) WHERE d = 1)"""
 _DRIFT = "contract_value, duration_days, procurement_method, publish_date, contract_start_date, contract_end_date"
 
 ORACLE = {
@@ -115,20 +189,16 @@ ORACLE = {
     "rpt_category_spend": _by("category_name"),
     "rpt_supplier_spend": _W + "SELECT * FROM ssp",
     "top_suppliers": _W + "SELECT * FROM ssp ORDER BY attributable_spend DESC, supplier_entity_key LIMIT 20",
-    "delta_merge": f"WITH {_DELIV} SELECT d2.cnid, {_D2}, {_STAMP} AS _loaded_at FROM d2 LEFT JOIN d1 USING (cnid)",
-    "full_load": f"WITH {_DELIV} SELECT d2.*, TIMESTAMP '{RUN_2}' AS _loaded_at FROM d2",
-    "incremental_load": f"""WITH {_DELIV}, s AS (SELECT * FROM d2 WHERE publishdate >= (SELECT max(publishdate) FROM d1))
-SELECT d2.cnid, {_D2}, {_STAMP} AS _loaded_at FROM s AS d2 LEFT JOIN d1 USING (cnid) UNION ALL SELECT d1.*, TIMESTAMP '{RUN_1}' FROM d1 ANTI JOIN s USING (cnid)""",
-    "prune_missing": f"WITH {_DELIV} SELECT cnid FROM d1 ANTI JOIN d2 USING (cnid)",
+    "delta_merge": f"WITH {_DELTA} SELECT * FROM {_LAST}",
+    "full_load": f"WITH {_DELIV} SELECT *, {_T(_DELIVERIES)} AS _loaded_at FROM d{_DELIVERIES}",
+    "incremental_load": f"WITH {_INCREMENTAL} SELECT * FROM {_LAST}",
+    "prune_missing": f"WITH {_DELIV} " + " UNION ALL ".join(f"SELECT cnid, {_T(n)} AS _removed_at FROM d{n - 1} ANTI JOIN d{n} USING (cnid)" for n in range(2, _DELIVERIES + 1)),
     "affected_chains": f"WITH {_EARLY}, {_TOUCHED} SELECT base_id FROM touched",
     "fact_incremental": f"WITH {_EARLY}, {_TOUCHED} SELECT f.* FROM fct f SEMI JOIN touched ON f.contract_id = base_id UNION ALL SELECT f.* FROM fct0 f ANTI JOIN touched ON f.contract_id = base_id",
     "gold_drift": f"""WITH {_EARLY}, e AS (SELECT contract_id, ({_DRIFT}) AS c FROM fct), a AS (SELECT contract_id, ({_DRIFT}) AS c FROM fct0)
 SELECT coalesce(e.contract_id, a.contract_id) AS contract_id, CASE WHEN a.contract_id IS NULL THEN 'missing_in_gold' WHEN e.contract_id IS NULL THEN 'not_in_silver' ELSE 'stale_value_in_gold' END AS issue
 FROM e FULL JOIN a ON e.contract_id = a.contract_id WHERE a.contract_id IS NULL OR e.contract_id IS NULL OR e.c IS DISTINCT FROM a.c""",
-    "scd2_history": f"""WITH {_ALL}, {_register("old_", "min")}, {_supplier("old_")}, o AS (SELECT {_HCOLS} FROM old_sup), n AS (SELECT {_HCOLS} FROM sup),
-v AS (SELECT {_H("o")}, TIMESTAMP '{RUN_1}' AS valid_from, CASE WHEN n.supplier_key IS NULL OR NOT ({_HSAME}) THEN TIMESTAMP '{RUN_2}' END AS valid_to FROM o LEFT JOIN n ON o.supplier_key = n.supplier_key
- UNION ALL SELECT {_H("n")}, TIMESTAMP '{RUN_2}', NULL FROM n LEFT JOIN o ON o.supplier_key = n.supplier_key WHERE o.supplier_key IS NULL OR NOT ({_HSAME}))
-SELECT *, valid_to IS NULL AS is_current FROM v""",
+    "scd2_history": f"WITH {_ALL}, {_history()} SELECT *, valid_to IS NULL AS is_current FROM h{_EXTRACTS}",
     "mart_reconcile": _W + f"SELECT *, (fact_total IS NOT DISTINCT FROM mart_total) AND coalesce(mart_attributable, 0) <= coalesce(mart_total, 0) AS agrees FROM (SELECT sum(contract_value)::{_M} AS fact_total FROM fct), (SELECT sum(total_spend)::{_M} AS mart_total, sum(attributable_spend)::{_M} AS mart_attributable FROM ssp)",
     "fk_orphans": _W + "SELECT supplier_key, count(*) AS n FROM fct WHERE supplier_key NOT IN (SELECT supplier_key FROM sup WHERE supplier_abn <> 'UNKNOWN') GROUP BY 1",
     "unique_violations": _W + "SELECT contract_id, count(*) AS n FROM stg WHERE contract_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
@@ -149,8 +219,11 @@ count(DISTINCT supplier_entity_key) + max((supplier_entity_key IS NULL)::int)::b
     "measure_ytd": _W + f", d AS (SELECT publish_year, publish_date, sum(contract_value) AS t FROM rpt WHERE publish_date IS NOT NULL GROUP BY 1, 2) SELECT publish_year, publish_date, sum(t) OVER (PARTITION BY publish_year ORDER BY publish_date ROWS UNBOUNDED PRECEDING)::{_M} AS spend_ytd FROM d",
     "masked_contracts": _W + "SELECT contract_id, supplier_name, CASE WHEN supplier_abn IS NULL OR supplier_abn = 'UNKNOWN' THEN supplier_abn ELSE 'XXXXXXXX' || right(supplier_abn, 3) END AS supplier_abn FROM rpt",
     "row_policy": _W + "SELECT contract_id, contract_value, is_attributable FROM rpt WHERE is_attributable",
-    "cdc_merge": f"""WITH {_DELIV} SELECT d2.cnid AS contract_id, d2.agencyname AS agency_name, d2.suppliername AS supplier_name, try_cast(d2.value AS decimal(18,2)) AS contract_value, {_DT("d2.publishdate")} AS publish_date, {_STAMP} AS loaded_at, {_STAMP} AS _merged_at
-FROM d2 LEFT JOIN d1 USING (cnid)""",
+    "cdc_merge": f"WITH {_DELTA} SELECT cnid AS contract_id, agencyname AS agency_name, suppliername AS supplier_name, try_cast(value AS decimal(18,2)) AS contract_value, {_DT('publishdate')} AS publish_date, _loaded_at AS loaded_at, _loaded_at AS _merged_at FROM {_LAST}",
+    "build_checks": _checks(),
+    "csv_source": f"SELECT {_NT('cnid')} AS cnid, {', '.join(f'{_NT(c)} AS {c}' for c in TEXT_COLUMNS)}, {_T(1)} AS _loaded_at FROM raw_contract_data",
+    "register_xml": f"{_XML} SELECT * FROM x",
+    "record_names": f"{_XML} SELECT abn, max(CASE WHEN name_type = 'MAIN' THEN entity_name END) AS main_name, count(*) AS names FROM x GROUP BY 1",
     "dynamic_agency_spend": f"SELECT {_NT('agencyname')} AS agency_name, count(*) AS contract_count, sum(try_cast({_NT('value')} AS decimal(18,2)))::{_M} AS total_value FROM raw_contract_data GROUP BY 1",
 }
 ORACLE = {k: v.replace(f"{_W},", f"WITH {_ALL},") for k, v in ORACLE.items()}

@@ -11,12 +11,9 @@ from ledgerloom.operators.orphans import Reference, cascade, reference_gaps
 from ledgerloom.operators.parse_errors import field_failures, parse_records
 from ledgerloom.operators.snapshot_diff import snapshot_diff
 from ledgerloom.session import fresh_path, materialize, table
+from ledgerloom.sources.files import CONTRACT_COLUMNS
 
-BUSINESS_COLUMNS = (
-    "agencyname", "value", "suppliername", "description", "publishdate", "contractstart", "contractend", "procurementmethod",
-    "category", "agencyabn", "supplierabn", "categoryunspsc", "cnid", "supplierid", "sourceurl",
-)
-CONTENT_COLUMNS = tuple(c for c in BUSINESS_COLUMNS if c != "cnid")
+CONTENT_COLUMNS = tuple(c for c in CONTRACT_COLUMNS if c != "cnid")
 ATTRIBUTES = ("status", "status_date", "main_name")
 
 
@@ -26,8 +23,8 @@ def register_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = snapshot_days(raw)
     late = F.to_date("loaded") > F.to_date("day")
     history = EntityHistory(spark, fresh_path(spark, "register-history"), "abn", ATTRIBUTES)
-    history.load(raw.where(~F.coalesce(late, F.lit(False))), days)
-    history.apply(raw, raw.where(late), days)
+    history.load(raw.where(~F.coalesce(late, F.lit(False))), days, raw.count())
+    history.apply(raw.where(late), days)
     return history.read()
 
 
@@ -97,7 +94,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_records(table(spark, sf_dir, "raw_contract_line"), "line_id", "line", BUSINESS_COLUMNS)
+    return parse_records(table(spark, sf_dir, "raw_contract_line"), "line_id", "line", CONTRACT_COLUMNS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +110,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the raw lines that load, as typed rows."""
     lines = _parsed_lines(spark, sf_dir)
-    good = lines.where("reason is null").select("line_id", *[present(F.col(c)).alias(c) for c in BUSINESS_COLUMNS])
+    good = lines.where("reason is null").select("line_id", *[present(F.col(c)).alias(c) for c in CONTRACT_COLUMNS])
     bad = field_failures(good, "line_id", ["value"], ["publishdate", "contractstart"]).select("line_id").distinct()
     good = good.join(bad, "line_id", "left_anti")
     return good.select("line_id", "agencyname", F.col("value").cast("decimal(38,6)").try_cast("decimal(18,2)").alias("value"), F.to_date("publishdate").alias("publishdate"), F.to_date("contractstart").alias("contractstart"), notice_key(F.col("cnid")).alias("cnid"))

@@ -25,9 +25,12 @@ def build_session(app: str = "ledgerloom", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """The cluster's shared folder from spark.checkpoint.dir; a folder of this machine only in local mode, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,8 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_work: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _work.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove the work tables made so far, once no result that reads them is needed any more; returns how many there were."""
+    n = 0
+    while _work:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_work.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

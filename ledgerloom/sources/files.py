@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +41,24 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("normalized_name string, category string, reason string").csv(path, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
 
 
-_S = T.StringType()
-_CORPORATE = T.StructType([T.StructField("_type", _S), T.StructField("NonIndividualNameText", _S)])
-_PERSON = T.StructType([T.StructField("_type", _S), T.StructField("GivenName", T.ArrayType(_S)), T.StructField("FamilyName", T.ArrayType(_S))])
-_ADDRESS = T.StructType([T.StructField("AddressDetails", T.StructType([T.StructField("State", _S), T.StructField("Postcode", _S)]))])
-
-
-def _container(many: bool):
-    fields = [
-        T.StructField("NonIndividualName", T.ArrayType(_CORPORATE)),
-        T.StructField("IndividualName", T.ArrayType(_PERSON)),
-        T.StructField("BusinessAddress", T.ArrayType(_ADDRESS)),
-        T.StructField("AddressDetails", T.ArrayType(_ADDRESS["AddressDetails"].dataType)),
-    ]
-    one = T.StructType(fields)
-    return T.ArrayType(one) if many else one
-
-
-CONTAINERS = ("MainEntity", "LegalEntity", "OtherEntity", "BusinessName", "TradingName")
-#: All text, so that leading zeros stay; every container that may hold a name or an address is listed.
-REGISTER_SCHEMA = T.StructType(
-    [
-        T.StructField("ABN", T.StructType([T.StructField("_VALUE", _S), T.StructField("_status", _S), T.StructField("_ABNStatusFromDate", _S)])),
-        T.StructField("EntityType", T.StructType([T.StructField("EntityTypeInd", _S), T.StructField("EntityTypeText", _S)])),
-        *[T.StructField(c, _container(True)) for c in CONTAINERS],
-        *_container(False).fields,
-    ]
+#: What is read of a record: its names and places at any depth, in document order.  All text, so that leading zeros stay.
+RECORD = (
+    "abn string, abn_status string, abn_status_from_date string, entity_type_ind string, entity_type_text string, state string, postcode string, "
+    "firms array<struct<kind:string,name:string>>, people array<struct<kind:string,given:string,family:string>>"
 )
 
 
-def _all(name: str) -> Column:
-    """The elements of that name in the record itself and in every container, in document order of the containers."""
-    empty = F.array().cast(REGISTER_SCHEMA["MainEntity"].dataType.elementType[name].dataType)
-    nested = [F.coalesce(F.flatten(F.transform(F.col(c), lambda x: F.coalesce(x[name], empty))), empty) for c in CONTAINERS]
-    return F.concat(*nested, F.coalesce(F.col(name), empty))
+def parse_record(xml: str) -> tuple:
+    """The fields of RECORD of one register record; a malformed one fails the load, so that the live table stays."""
+    record = ElementTree.fromstring(xml)
+    number = record.find(".//ABN")
+    text = lambda at, name: next((e.text for e in at.iter(name) if e.text), None)
+    firms = [{"kind": e.get("type"), "name": text(e, "NonIndividualNameText")} for e in record.iter("NonIndividualName")]
+    people = [{"kind": e.get("type"), "given": text(e, "GivenName"), "family": text(e, "FamilyName")} for e in record.iter("IndividualName")]
+    places = list(record.iter("AddressDetails"))
+    first = lambda name: next((x for p in places if (x := text(p, name))), None)
+    status = (number.text, number.get("status"), number.get("ABNStatusFromDate")) if number is not None else (None, None, None)
+    return (*status, text(record, "EntityTypeInd"), text(record, "EntityTypeText"), first("State"), first("Postcode"), firms, people)
 
 
 def record_names() -> Column:
@@ -78,8 +69,8 @@ def record_names() -> Column:
     skipped, a missing type is UNK, and a name said before in any case is dropped.
     """
     typed = lambda t, n: F.struct(F.coalesce(F.nullif(t, F.lit("")), F.lit("UNK")).alias("name_type"), F.trim(n).alias("entity_name"))
-    firms = F.transform(_all("NonIndividualName"), lambda x: typed(x["_type"], x["NonIndividualNameText"]))
-    people = F.transform(_all("IndividualName"), lambda x: typed(x["_type"], F.array_join(F.filter(F.array(F.get(x["GivenName"], F.lit(0)), F.get(x["FamilyName"], F.lit(0))), lambda p: p.isNotNull() & (p != "")), " ")))
+    firms = F.transform(F.col("firms"), lambda x: typed(x["kind"], x["name"]))
+    people = F.transform(F.col("people"), lambda x: typed(x["kind"], F.array_join(F.filter(F.array(x["given"], x["family"]), lambda p: p.isNotNull() & (p != "")), " ")))
     names = F.filter(F.concat(firms, people), lambda x: F.coalesce(x["entity_name"] != "", F.lit(False)))
     return F.when(F.size(names) == 0, names).otherwise(_canonical_first(names))
 
@@ -94,16 +85,42 @@ def _canonical_first(names: Column) -> Column:
     return F.aggregate(rest, F.array(head), lambda out, x: F.when(seen(out, x), out).otherwise(F.concat(out, F.array(x))))
 
 
+def _zip_members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records in the XML members of ZIP archives, some at a time; a member is never unpacked as a whole."""
+    for b in files:
+        for path, content in zip(b["path"], b["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for member in (m for m in z.namelist() if m.lower().endswith(".xml")):
+                    with io.TextIOWrapper(z.open(member), encoding="utf-8-sig") as f:
+                        rest = ""
+                        while part := f.read(4 << 20):
+                            *records, rest = (rest + part).split(_END)
+                            yield pd.DataFrame({"value": pd.Series(records, dtype=object), "file": pd.Series([f"{path}!{member}"] * len(records), dtype=object)})
+
+
+_END = "</ABR>"
+
+
+def register_records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file): the texts up to the end of each record, out of XML files, which are split at records, or ZIP archives of such."""
+    if path.lower().endswith(".zip"):
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return files.mapInPandas(_zip_members, "value string, file string").repartition(spark.sparkContext.defaultParallelism)
+    return spark.read.option("lineSep", _END).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def read_register_xml(spark: SparkSession, path: str, load_ts: Column) -> DataFrame:
-    """One row a name of every record with a number; the reader streams records, whatever the size of a file."""
-    records = spark.read.format("xml").option("rowTag", "ABR").schema(REGISTER_SCHEMA).load(path)
-    places = F.concat(_all("AddressDetails"), F.transform(_all("BusinessAddress"), lambda a: a["AddressDetails"]))
-    first = lambda f: F.get(F.filter(F.transform(places, lambda a: a[f]), lambda x: x.isNotNull()), F.lit(0))
-    rows = records.where(F.trim(F.col("ABN._VALUE")) != "").select(
-        F.trim("ABN._VALUE").alias("abn"), F.col("ABN._status").alias("abn_status"), F.col("ABN._ABNStatusFromDate").alias("abn_status_from_date"), F.col("EntityType.EntityTypeInd").alias("entity_type_ind"), F.col("EntityType.EntityTypeText").alias("entity_type_text"),
-        F.explode_outer(record_names()).alias("n"), first("State").alias("state"), first("Postcode").alias("postcode"), F.input_file_name().alias("_file"),
-    )
-    return rows.where("n is not null").select(
-        "abn", "abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text", F.col("n.entity_name").alias("entity_name"), F.col("n.name_type").alias("name_type"), "state", "postcode",
-        load_ts.alias("_loaded_at"), F.regexp_extract("_file", r"([^/]+)$", 1).alias("_source_file"),
-    )
+    """One row a name of every record with a number; records are streamed, whatever the size of a file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0].split()[0] for f in re.split(r", (?=\w+ )", RECORD)]
+        for b in batches:
+            # what follows the last record holds none
+            found = [(i, parse_record(t[at.start() :] + _END)) for i, t in enumerate(b["value"]) if (at := re.search(r"<ABR[\s>]", t))]
+            rows = pd.DataFrame([r for _, r in found], columns=names)
+            yield rows.assign(file=pd.Series([b["file"].iloc[i] for i, _ in found], dtype=object))
+
+    records = register_records(spark, path).mapInPandas(run, RECORD + ", file string")
+    attributes = ("abn_status", "abn_status_from_date", "entity_type_ind", "entity_type_text")
+    rows = records.where(F.trim("abn") != "").select(F.trim("abn").alias("abn"), *attributes, F.explode(record_names()).alias("n"), "state", "postcode", "file")
+    return rows.select("abn", *attributes, F.col("n.entity_name").alias("entity_name"), F.col("n.name_type").alias("name_type"), "state", "postcode", load_ts.alias("_loaded_at"), F.regexp_extract("file", r"([^/!]+)$", 1).alias("_source_file"))

@@ -1,7 +1,7 @@
 """Change capture: a change log read as a stream and merged, batch by batch, into a typed mirror.
 
-The log holds every change of the bronze table as rows with _action (INSERT or DELETE), _is_update and a running
-_seq; an update is the old row deleted and the new one inserted, both marked.  Each batch is reduced to the net
+The log holds every change of the bronze table as rows with _action (INSERT or DELETE), _is_update and a _seq that
+grows from load to load; an update is the old row deleted and the new one inserted, both marked.  Each batch is reduced to the net
 change of every key and merged; the batch number is committed with the snapshot, so a replayed batch is skipped.
 """
 
@@ -16,14 +16,17 @@ from ledgerloom.sources.store import SnapshotStore
 MIRROR = ("agency_name", "supplier_name", "contract_value", "publish_date", "loaded_at")
 
 
-def change_log(before: DataFrame, merged: DataFrame, key: str) -> DataFrame:
-    """The changes between a table and its merge (made with ``actions``), as log rows; unchanged rows leave none."""
+def change_log(before: DataFrame, merged: DataFrame, key: str, load: int) -> DataFrame:
+    """The changes between a table and its merge (made with ``actions``), as log rows; unchanged rows leave none.
+
+    ``load`` is the number of the load, in the order of loads; it leads the sequence numbers.
+    """
     columns = [c for c in merged.columns if c != "_action"]
     touched = merged.where("_action <> 'keep'")
     new = touched.where("_action in ('insert', 'update')").select(*columns, F.lit("INSERT").alias("_action"), (F.col("_action") == "update").alias("_is_update"))
     old_keys = touched.where("_action in ('update', 'delete') and " + key + " is not null").select(key, (F.col("_action") == "update").alias("_is_update"))
     old = before.join(old_keys, key).select(*columns, F.lit("DELETE").alias("_action"), "_is_update")
-    return new.unionByName(old).withColumn("_seq", F.monotonically_increasing_id())
+    return new.unionByName(old).withColumn("_seq", F.lit(load).cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(38,0)") + F.monotonically_increasing_id())
 
 
 def net_changes(changes: DataFrame) -> DataFrame:
@@ -53,13 +56,15 @@ def apply_changes(target: DataFrame, changes: DataFrame, merged_at: Column) -> D
 
 
 def start_merge(spark: SparkSession, log_path: str, store: SnapshotStore, checkpoint: str, merged_at: Column, **trigger):
-    """The running query; ``store`` must hold the mirror already.  Trigger: availableNow=True, or processingTime='60 minutes'."""
+    """The running query; ``store``, keyed by contract_id, must hold the mirror already.  Trigger: availableNow=True, or processingTime='60 minutes'."""
     schema = spark.read.parquet(log_path).schema
 
     def batch(rows: DataFrame, number: int) -> None:
         if number <= store.meta.get("batch", -1):
             return
-        store.commit(apply_changes(store.read(), rows, merged_at), batch=number)
+        keys = rows.where("cnid is not null").select(F.col("cnid").alias("contract_id")).distinct()
+        # only the buckets of changed keys are read and written
+        store.replace_chains(apply_changes(store.read_touched(keys), rows, merged_at), keys, batch=number)
 
     stream = spark.readStream.schema(schema).parquet(log_path)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

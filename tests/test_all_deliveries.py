@@ -36,16 +36,16 @@ def query(spark, small, name, *columns):
 
 def test_loads(spark, small):
     state = ("cnid", "description", "_loaded_at")
-    assert query(spark, small, "delta_merge_all", *state) == [("1", "a", RUN[3]), ("4", "a", RUN[2]), ("5", "a", RUN[3])]
-    assert query(spark, small, "full_load_all", *state) == [("1", "a", RUN[3]), ("4", "a", RUN[3]), ("5", "a", RUN[3])]
+    assert query(spark, small, "delta_merge", *state) == [("1", "a", RUN[3]), ("4", "a", RUN[2]), ("5", "a", RUN[3])]
+    assert query(spark, small, "full_load", *state) == [("1", "a", RUN[3]), ("4", "a", RUN[3]), ("5", "a", RUN[3])]
     # published before the watermark: what the third and fourth delivery say of 1, 4 and 5
-    assert query(spark, small, "incremental_load_all", *state) == [("1", "b", RUN[1]), ("2", "a", RUN[0]), ("3", "c", RUN[2])]
-    assert query(spark, small, "prune_missing_all", "cnid", "_removed_at") == [("2", RUN[2]), ("3", RUN[1]), ("3", RUN[3])]
+    assert query(spark, small, "incremental_load", *state) == [("1", "b", RUN[1]), ("2", "a", RUN[0]), ("3", "c", RUN[2])]
+    assert query(spark, small, "prune_missing", "cnid", "_removed_at") == [("2", RUN[2]), ("3", RUN[1]), ("3", RUN[3])]
 
 
 def test_changes(spark, small):
-    assert query(spark, small, "cdc_merge_all", "contract_id", "loaded_at", "_merged_at") == [("1", RUN[3], RUN[3]), ("4", RUN[2], RUN[2]), ("5", RUN[3], RUN[3])]
+    assert query(spark, small, "cdc_merge", "contract_id", "loaded_at", "_merged_at") == [("1", RUN[3], RUN[3]), ("4", RUN[2], RUN[2]), ("5", RUN[3], RUN[3])]
 
 
 def test_history(spark, small):
-    assert query(spark, small, "scd2_history_all", "valid_from", "abr_abn_status", "valid_to", "is_current") == [(RUN[0], "ACT", RUN[1], False), (RUN[1], "CAN", RUN[3], False), (RUN[3], "ACT", None, True)]
+    assert query(spark, small, "scd2_history", "valid_from", "abr_abn_status", "valid_to", "is_current") == [(RUN[0], "ACT", RUN[1], False), (RUN[1], "CAN", RUN[3], False), (RUN[3], "ACT", None, True)]

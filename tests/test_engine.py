@@ -1,4 +1,5 @@
 import datetime as dt
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ledgerloom.plans import gold, measures, staging
 from ledgerloom.plans.registry import Models
 from ledgerloom.plans.silver import dedup_notices
 from ledgerloom.sources.files import read_contracts_csv, read_register_xml, read_seed, verify_count
-from ledgerloom.sources.store import SnapshotStore
+from ledgerloom.sources.store import LostUpdate, SnapshotStore
 from ledgerloom.streaming import cdc
 
 COLUMNS = ("agencyname", "value", "suppliername", "description", "publishdate", "contractstart", "contractend", "procurementmethod", "category", "agencyabn", "supplierabn", "categoryunspsc", "cnid", "supplierid", "sourceurl")
@@ -189,6 +190,21 @@ def test_store(spark, tmp_path):
     assert s.read().count() == 0
 
 
+def test_store_refuses_to_undo_another_writer(spark, tmp_path):
+    s = SnapshotStore(spark, f"file://{tmp_path}/t", ["k"])
+    df = spark.createDataFrame([(i, "a") for i in range(50)], "k int, v string")
+    s.commit(df, 50)
+    with pytest.raises(LostUpdate):
+        s.commit(df.limit(1), after=0)
+    assert s.read().count() == 50 and s.manifest()["buckets"] == 16
+    s.append(df.limit(1))
+    assert s.read().count() == 51 and s.read_touched(df.where("k < 3")).count() in (3, 4)
+    s.replace_chains(df.where("k = 7").withColumn("v", F.lit("b")), df.where("k in (7, 8)"))
+    assert [r.v for r in s.read().where("k in (7, 8)").collect()] == ["b"]
+    assert SnapshotStore(spark, f"file://{tmp_path}/u", ["k"], bucket_rows=2).commit(df, 50) == 1
+    assert SnapshotStore(spark, f"file://{tmp_path}/u").manifest()["buckets"] == 25
+
+
 def test_csv(spark, tmp_path):
     line = ",".join(f'"{c} ""q"""' if i == 3 else ("NULL" if i == 4 else c) for i, c in enumerate(COLUMNS))
     good = tmp_path / "good.csv"
@@ -218,13 +234,28 @@ def test_register_xml(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, [("01234567890", "MAIN", "Main Co", "NT", "0800"), ("01234567890", "TRD", "Trade", "NT", "0800"), ("2", "MAIN", "Ann Cee", None, None), ("2", "TRD", "Shop", None, None)]))
 
 
+def test_register_records_at_any_depth_and_in_archives(spark, tmp_path):
+    record = """<ABR><ABN status="ACT">7</ABN><X><Deep><NonIndividualName type="OTN"><NonIndividualNameText>Deep &amp; Co</NonIndividualNameText></NonIndividualName></Deep></X>
+<Y><AddressDetails><State>WA</State></AddressDetails><AddressDetails><State>SA</State><Postcode>5000</Postcode></AddressDetails></Y></ABR>"""
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("a.xml", f"<T>{record}{record.replace('>7<', '>8<')}</T>")
+        z.writestr("b.xml", "<T></T>")
+        z.writestr("c.txt", record)
+    rows = read_register_xml(spark, f"file://{tmp_path}/r.zip", F.lit(T1).cast("timestamp_ntz")).collect()
+    assert sorted((r.abn, r.name_type, r.entity_name, r.state, r.postcode, r._source_file) for r in rows) == [(n, "MAIN", "Deep & Co", "WA", "5000", "a.xml") for n in ("7", "8")]
+    bad = tmp_path / "bad.xml"
+    bad.write_text("<T><ABR><ABN>1</X></ABR></T>")
+    with pytest.raises(Exception, match="mismatched"):
+        read_register_xml(spark, str(bad), F.lit(T1).cast("timestamp_ntz")).collect()
+
+
 def test_changes_are_merged_and_replays_skipped(spark, tmp_path):
     log = contracts(spark, [notice("new"), notice("up", "1"), notice("up", "2"), notice("del"), notice("stray"), notice("both", "1"), notice("both", "3"), notice(None)])
     flags = [("INSERT", False), ("DELETE", True), ("INSERT", True), ("DELETE", False), ("DELETE", False), ("INSERT", False), ("INSERT", False), ("INSERT", False)]
     rows = [(*r, *f, i) for i, (r, f) in enumerate(zip(log.collect(), flags))]
     log = spark.createDataFrame(rows, log.schema.add("_action", "string").add("_is_update", "boolean").add("_seq", "long"))
     log.write.parquet(f"file://{tmp_path}/log")
-    store = SnapshotStore(spark, f"file://{tmp_path}/mirror")
+    store = SnapshotStore(spark, f"file://{tmp_path}/mirror", ["contract_id"])
     at = lambda n: F.lit(dt.datetime(2024, 1, n)).cast("timestamp_ntz")
     store.commit(cdc.mirror(contracts(spark, [notice("up", "1"), notice("del"), notice("rest")])).withColumn("_merged_at", at(1)))
     for _ in range(2):
@@ -237,7 +268,7 @@ def test_changes_are_merged_and_replays_skipped(spark, tmp_path):
 def test_change_log_of_a_merge(spark):
     old = target(spark, [("a", "1", None, T1), ("b", "1", None, T1), ("c", "1", None, T1)])
     m = merge(old, target(spark, [("a", "1", None, None), ("b", "2", None, None), ("d", "1", None, None)]).drop("_loaded_at"), "cnid", ["v", "publishdate"], "_loaded_at", F.lit(T2).cast("timestamp_ntz"), prune=True, actions=True)
-    got = sorted((r.cnid, r.v, r._action, r._is_update) for r in cdc.change_log(old, m, "cnid").collect())
+    got = sorted((r.cnid, r.v, r._action, r._is_update) for r in cdc.change_log(old, m, "cnid", 1).collect())
     assert got == [("b", "1", "DELETE", True), ("b", "2", "INSERT", True), ("c", "1", "DELETE", False), ("d", "1", "INSERT", False)]
 
 
@@ -301,9 +332,41 @@ def test_command_line(spark, tmp_path, capsys):
     out = f"file://{tmp_path}/out"
     assert main(["build", "--out", out, "--skip-models"]) == 0 and main(["build", "--out", out]) == 1
     assert main(["build", "--out", out, "--contracts", str(csv)]) == 0
-    csv.write_text(",".join(COLUMNS) + "\n" + line(2) + "\n")
-    assert main(["build", "--out", out, "--contracts", str(csv), "--mode", "delta"]) == 0
-    assert [r.contract_id for r in SnapshotStore(spark, f"{out}/gold/fct_contracts").read().collect()] == ["2"]
+    raw = lambda: sorted((r.cnid, r._source_file) for r in SnapshotStore(spark, f"{out}/bronze/raw_contract_data").read().collect())
+    fact = lambda: sorted(r.contract_id for r in SnapshotStore(spark, f"{out}/gold/fct_contracts").read().collect())
+    assert raw() == [("1", csv.name), ("2", csv.name)] and fact() == ["1", "2"]
+    assert main(["sync", "--out", out]) == 0
+    later = tmp_path / "notices_full_20240201_c1.csv"
+    later.write_text(",".join(COLUMNS) + "\n" + line(2) + "\n" + line(3) + "\n")
+    # the incremental fact removes nothing: the check says so, and a full refresh mends it
+    capsys.readouterr()
+    assert main(["build", "--out", out, "--contracts", str(later), "--mode", "delta"]) == 1
+    assert "error: gold_drift fct_contracts.contract_id: 1" in capsys.readouterr().out
+    assert raw() == [("2", csv.name), ("3", later.name)] and fact() == ["1", "2", "3"]
+    assert main(["build", "--out", out, "--full-refresh"]) == 0 and fact() == ["2", "3"]
+    history = [(r.supplier_name, r.valid_to) for r in SnapshotStore(spark, f"{out}/gold/supplier_history").read().collect()]
+    assert history == [("suppliername", None)]
+    assert main(["sync", "--out", out]) == 0
+    assert sorted(r.contract_id for r in SnapshotStore(spark, f"{out}/silver/contract_mirror").read().collect()) == ["2", "3"]
+    log = spark.read.parquet(f"{out}/bronze/changes").collect()
+    assert sorted((r.load, r.cnid, r._action) for r in log) == [(1, "1", "INSERT"), (1, "2", "INSERT"), (2, "1", "DELETE"), (2, "3", "INSERT")]
+    old = tmp_path / "notices_full_20230101_c1.csv"
+    old.write_text(",".join(COLUMNS) + "\n" + line(9).replace("2024-01-02", "2020-01-01") + "\n")
+    capsys.readouterr()
+    assert main(["build", "--out", out, "--contracts", str(old), "--mode", "incremental"]) == 0
+    assert "0 of 1 notices" in capsys.readouterr().out and len(raw()) == 2
+    folder = tmp_path / "two"
+    folder.mkdir()
+    for f in (csv, later):
+        (folder / f.name).write_text(f.read_text())
+    assert main(["build", "--out", f"{out}2", "--contracts", str(folder), "--mode", "full", "--skip-models"]) == 0
+    assert {r._source_file for r in SnapshotStore(spark, f"{out}2/bronze/raw_contract_data").read().collect()} == {csv.name, later.name}
+    empty = tmp_path / "empty.xml"
+    empty.write_text("<T></T>")
+    assert main(["build", "--out", out, "--register", str(empty), "--skip-models"]) == 1
+    assert main(["show", "--out", out, "--role", "analyst", "rpt_contracts"]) == 0
+    assert "XXXXXXXXabn" in capsys.readouterr().out
+    assert main(["show", "--out", out, "--role", "analyst", "dim_supplier"]) == 1
     capsys.readouterr()
     assert main(["lineage"]) == 0
     text = tmp_path / "lineage.mmd"

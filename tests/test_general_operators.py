@@ -77,13 +77,32 @@ def test_late_rows_rebuild_only_their_chains(spark, tmp_path):
     h = EntityHistory(spark, f"file://{tmp_path}/h", "abn", ["status", "name"])
     h.load(first, DAYS)
     dirs = h.store.manifest()["dirs"]
-    h.apply(raw, spark.createDataFrame(late, STATE), DAYS)
+    h.apply(spark.createDataFrame(late, STATE), DAYS)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(h.read()) == key(build_versions(raw, DAYS, "abn", ["status", "name"]))
     same = [b for b, d in h.store.manifest()["dirs"].items() if dirs.get(b) == d]
     assert 0 < len(same) < len(dirs) and h.store.version == 2
-    h.apply(raw, spark.createDataFrame(late, STATE), [*DAYS, "d5"])
-    assert h.read().where("abn = 'e1'").first().valid_to == "d5"
+    h.apply(spark.createDataFrame(late, STATE), DAYS)
+    assert key(h.read()) == key(build_versions(raw, DAYS, "abn", ["status", "name"]))
+
+
+def test_a_new_snapshot_touches_only_what_it_moves(spark, tmp_path):
+    old = [(f"e{i}", d, 1, "A", "N" if i != 4 else None, "x") for i in range(60) for d in DAYS]
+    day = [(f"e{i}", "d5", 1, "B" if i == 1 else "A", "N", "x") for i in range(60) if i != 2] + [("fresh", "d5", 1, "A", "N", "x"), ("e3", "d2", 9, "B", "N", "x")]
+    h = EntityHistory(spark, f"file://{tmp_path}/h", "abn", ["status", "name"], least_buckets=64)
+    h.load(spark.createDataFrame(old, STATE), DAYS)
+    dirs = h.store.manifest()["dirs"]
+    key = lambda df: sorted(map(str, df.collect()))
+    h.apply(spark.createDataFrame(day, STATE), [*DAYS, "d5"])
+    assert key(h.read()) == key(build_versions(spark.createDataFrame(old + day, STATE), [*DAYS, "d5"], "abn", ["status", "name"]))
+    changed = {b for b, d in h.store.manifest()["dirs"].items() if dirs.get(b) != d}
+    assert 0 < len(changed) <= 5  # e1, e2, e3, e4 and fresh
+    more = [("e7", "d7", 1, "C", "N", "x"), ("e8", "d6", 1, "A", "N", "x")]
+    h.apply(spark.createDataFrame(more, STATE), [*DAYS, "d5", "d6", "d7"])
+    assert key(h.read()) == key(build_versions(spark.createDataFrame(old + day + more, STATE), [*DAYS, "d5", "d6", "d7"], "abn", ["status", "name"]))
+    between = [("e7", "d55", 1, "C", "N", "x")]
+    h.apply(spark.createDataFrame(between, STATE), [*DAYS, "d5", "d55", "d6", "d7"])
+    assert key(h.read()) == key(build_versions(spark.createDataFrame(old + day + more + between, STATE), [*DAYS, "d5", "d55", "d6", "d7"], "abn", ["status", "name"]))
 
 
 def test_register_statements(spark):
