@@ -9,8 +9,10 @@ the document's main one.
 Labels are noisy, so the field is fitted on a bounded sample of labelled documents (``sample`` of them, taken by a
 hash of their key) of which only those count whose label the function words bear out; a language that no sampled
 document bears out is none of the corpus.  Fitting concatenates sentences of different languages, so that the
-transitions see language changes.  Everything else covers whole texts of all documents; long texts are cut into
-overlapping pieces that are scored side by side.
+transitions see language changes, and takes at most ``FITTED`` words of a sentence, from a random place on.
+Everything else covers all documents, and forward-backward runs over each text as one chain, however long it is;
+texts of like lengths are scored side by side.  The languages are those of ``NOTATIONS``; a text of another one gets
+the nearest of them.
 
 Defined cases: null, blank and letterless texts have no language and give no row; an empty table gives an empty
 result; with no usable label in the sample the function words alone decide; repeated documents are labelled each.
@@ -52,7 +54,10 @@ FUNCTION_WORDS = {
 
 BITS = 16
 WIDTH = 20
-PIECE, LAP = 400, 40
+#: Words (with what fills up shorter texts) that are scored side by side.
+CELLS = 400_000
+#: Words of a sentence that one fitted sequence takes, from a random place on.
+FITTED = 60
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n+|\f|\v")
 _STOP = re.compile(r"""[.!?]["»”’')\]]*\s+(?=["«“„‘(\[]*(?:[^\W\d_]|[█▇▮…\[]))""")
@@ -257,7 +262,10 @@ def fit(labelled: list[tuple[str, str]], *, rounds: int = 60, sequences: int = 1
             if rng.random() < 0.35:
                 y = rng.integers(k)
             p = by_language[languages[y]]
-            s = p[rng.integers(len(p))][:60]
+            s = p[rng.integers(len(p))]
+            if len(s) > FITTED:
+                at = rng.integers(len(s) - FITTED + 1)
+                s = s[at : at + FITTED]
             ids += [words.setdefault(w, len(words)) for w in s]
             ys += [y] * len(s)
         data.append((ids, ys))
@@ -311,22 +319,19 @@ def label_words(field: Field, docs: list[list[list[str]]]) -> list[np.ndarray]:
     known: dict[str, int] = {}
     ids = [np.array([known.setdefault(w, len(known)) for s in d for w in s], np.int64) for d in docs]
     scores = field.word_scores(list(known))
-    pieces = []  # (document, begin, end, owned begin, owned end)
-    for d, x in enumerate(ids):
-        for a in range(0, len(x), PIECE):
-            b = min(a + PIECE, len(x))
-            pieces.append((d, max(a - LAP, 0), min(b + LAP, len(x)), a, b))
-    out = [np.empty((len(x), len(field.languages))) for x in ids]
-    pieces.sort(key=lambda p: p[2] - p[1])
-    for at in range(0, len(pieces), 512):
-        some = pieces[at : at + 512]
-        t = max(p[2] - p[1] for p in some)
-        emission = np.zeros((len(some), t, len(field.languages)))
-        for r, (d, a, b, _, _) in enumerate(some):
-            emission[r, : b - a] = scores[ids[d][a:b]]
-        gamma, _ = forward_backward(emission, np.array([p[2] - p[1] for p in some]), field.switch)
-        for r, (d, a, _, own, end) in enumerate(some):
-            out[d][own:end] = gamma[r, own - a : end - a]
+    out = [np.zeros((len(x), len(field.languages))) for x in ids]
+    order, at = sorted((d for d in range(len(ids)) if len(ids[d])), key=lambda d: len(ids[d])), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(ids[order[end]]) <= CELLS:
+            end += 1
+        some, at = order[at:end], end
+        emission = np.zeros((len(some), len(ids[some[-1]]), len(field.languages)))
+        for r, d in enumerate(some):
+            emission[r, : len(ids[d])] = scores[ids[d]]
+        gamma, _ = forward_backward(emission, np.array([len(ids[d]) for d in some]), field.switch)
+        for r, d in enumerate(some):
+            out[d] = gamma[r, : len(ids[d])]
     return out
 
 

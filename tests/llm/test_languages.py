@@ -3,7 +3,8 @@ import itertools
 import numpy as np
 import pytest
 
-from ledgerloom.llm.languages import fit, forward_backward, label_corpus, language_of_label, sentences_of, word_features
+from ledgerloom.llm import languages
+from ledgerloom.llm.languages import fit, forward_backward, label_corpus, label_words, language_of_label, sentences_of, word_features
 
 EN = ["The court had already held that the notice was late.", "It is common ground that the sum was paid on time.", "For these reasons the tenant must pay the costs.", "Having heard counsel, we are not persuaded by the report."]
 DE = ["Das Gericht ist nicht überzeugt, dass die Kündigung rechtzeitig war.", "Mit Schreiben vom Montag rügte die Klägerin die Verspätung der Lieferung.", "Nichts spricht dafür, dass der Zeuge davon wusste.", "Der Betrag ist nach dem Vortrag der Parteien nicht bewiesen."]
@@ -50,6 +51,18 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_a_long_text_is_one_chain(monkeypatch):
+    """Side by side with others and in any grouping, a text has the posteriors of its whole chain."""
+    field = fit([])
+    field.weight[:] = np.random.default_rng(2).normal(scale=0.3, size=field.weight.shape)
+    words = [f"w{i % 37}x{i % 11}" for i in range(3000)]
+    docs = [[words], [["a", "b"]], [], [words[:900], words[900:1500]]]
+    want = [forward_backward(field.word_scores([w for s in d for w in s])[None], np.array([sum(map(len, d))]), field.switch)[0][0] if d else np.zeros((0, len(field.languages))) for d in docs]
+    for cells in (1, 5000, 400_000):
+        monkeypatch.setattr(languages, "CELLS", cells)
+        assert all(np.allclose(a, b) for a, b in zip(label_words(field, docs), want))
+
+
 def test_features_depend_on_the_word_only():
     words = ["a", "of", "straße", "x" * 100, "naïve"]
     together = word_features(words)
