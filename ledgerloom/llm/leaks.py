@@ -39,7 +39,12 @@ from ledgerloom.session import materialize
 WINDOW, STRIDE = 40, 10
 #: A word weighs from one document in COMMON on, and no more than one in RARE; fewer documents than RARE count as RARE.
 COMMON, RARE = 50, 1000
-MAX_ITEM_WORDS = 20_000_000
+#: Characters of evaluation items that the driver reads at most, and words that go to every task at once; of more, one part after the other.
+MAX_ITEM_LETTERS, GROUP_WORDS = 120_000_000, 100_000
+#: Parts of a product that one task adds up at most.
+PARTS = 64
+#: Corpus windows of a task in the products.
+TASK_WINDOWS = 40_000
 
 _WORD = re.compile(r"[^\W_]+|█+")
 _HEADER = re.compile(r"^[^\n]{0,80}[-–—]\s*[^\W\d_]+\.?\s+\d+\s+[^\W\d_]+\s+\d+\s*$", re.M)
@@ -60,24 +65,32 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Items:
-    """The evaluation items as word numbers; small next to any corpus and sent to every task."""
+    """Evaluation items as word numbers; a bounded part of them, sent to every task."""
 
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: dict[str, int]
 
     @classmethod
-    def read(cls, items: DataFrame, key: str, text: str) -> Items:
+    def read(cls, items: DataFrame, key: str, text: str) -> list[Items]:
+        """The items in groups of about GROUP_WORDS words."""
         size = items.agg(F.sum(F.length(text))).first()[0] or 0
-        if size > 6 * MAX_ITEM_WORDS:
-            raise ValueError("the evaluation set is too large to go to every task; split it")
-        ids, words, vocabulary = [], [], {}
+        if size > MAX_ITEM_LETTERS:
+            raise ValueError("the evaluation set is too large for the driver; split it")
+        groups: list[Items] = []
+        room = 0
         for k, t in items.where(F.col(text).isNotNull()).select(key, text).orderBy(key).collect():
             w = words_of(t)
-            if w:
-                ids.append(k)
-                words.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int32))
-        return cls(ids, words, vocabulary)
+            if not w:
+                continue
+            if room < len(w):
+                groups.append(cls([], [], {}))
+                room = max(GROUP_WORDS, len(w))
+            own = groups[-1]
+            own.ids.append(k)
+            own.words.append(np.array([own.vocabulary.setdefault(x, len(own.vocabulary) + 1) for x in w], np.int32))
+            room -= len(w)
+        return groups
 
 
 def starts(n: int) -> list[int]:
@@ -226,7 +239,8 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
     own = np.concatenate([_windows(w) for w in items.words])
     corpus = int(found.agg(F.sum(F.ceil(F.size("words") / WINDOW))).first()[0] or 0)
     emphasis = 4 * max(1.0, corpus / len(own))
-    found = found.select("words").repartition(max(1, corpus // 40_000))
+    tasks = max(1, corpus // TASK_WINDOWS)
+    found = found.select("words").repartition(tasks)
 
     def product(windows: Iterator[np.ndarray], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A'A times the basis, for the windows as rows of A, and which words they touch."""
@@ -262,7 +276,11 @@ def latent_space(found: DataFrame, items: Items, weight: np.ndarray, rank: int,
         def add(parts: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": parts["block"].iloc[:1], "x": [np.sum(np.stack(parts["x"].to_numpy()), 0)]})
 
-        sums = found.mapInPandas(run, "block int, x array<float>").groupBy("block").applyInPandas(add, "block int, x array<float>").toArrow()
+        parts, kind = found.mapInPandas(run, "block int, x array<float>"), "block int, x array<float>"
+        while tasks > PARTS:  # of very many tasks, some are added up at a time
+            tasks = -(-tasks // PARTS)
+            parts = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(tasks))).applyInPandas(add, kind)
+        sums = parts.groupBy("block").applyInPandas(add, kind).toArrow()
         z = emphasis * product(iter(own), basis)[0]
         for i, x in zip(sums.column("block").to_pylist(), sums.column("x")):
             part = x.values.to_numpy().reshape(-1, rank)
@@ -446,12 +464,18 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
 
     The cosine is null where only a run of equal words gave the leak away.
     """
-    items = Items.read(item_table, item_key, item_text)
-    spark = documents.sparkSession
+    groups = Items.read(item_table, item_key, item_text)
     kind, item_kind = documents.schema[key].dataType.simpleString(), item_table.schema[item_key].dataType.simpleString()
     schema = f"key {kind}, item {item_kind}, cosine double, span int"
-    if not items.ids:
-        return spark.createDataFrame([], schema)
+    out = documents.sparkSession.createDataFrame([], schema) if not groups else None
+    for items in groups:
+        found = _find(documents, key, text, items, schema, cosine, least, altered, rank, checked)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _find(documents: DataFrame, key: str, text: str, items: Items, schema: str, cosine: float, least: int, altered: int, rank: int | None, checked: bool) -> DataFrame:
+    spark = documents.sparkSession
     read = materialize(read_words(documents, key, text, items), "words")
     # as many numbers as the evaluation vocabulary has words
     counted = read.where("at = -1").select(F.posexplode("words").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -463,7 +487,7 @@ def find_leaks(documents: DataFrame, key: str, text: str, item_table: DataFrame,
     space = idf.copy()
     space[0] = 0
     # one direction for every 36 words of the items: their windows then lie in the space nearly whole
-    rank = rank or min(4096, max(256, sum(map(len, items.words)) // 36))
+    rank = rank or max(256, sum(map(len, items.words)) // 36)
     basis = latent_space(found, items, space, rank)
     own = [_windows(w) for w in items.words]
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own])

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from ledgerloom.llm import leaks
 from ledgerloom.llm.leaks import find_leaks, leaked_span, words_of
 
 rng = random.Random(4)
@@ -39,7 +40,11 @@ def test_span_with_words_added_and_dropped():
     assert leaked_span(item[:39], item) == 0 or leaked_span(item[:39], item) == 39
 
 
-def test_leaks_are_found_and_near_misses_are_not(spark):
+@pytest.mark.parametrize("group,windows,parts", [(100_000, 40_000, 64), (500, 7, 2)])
+def test_leaks_are_found_and_near_misses_are_not(spark, monkeypatch, group, windows, parts):
+    """With few large groups of items and tasks, and with several small ones."""
+    for name, value in (("GROUP_WORDS", group), ("TASK_WINDOWS", windows), ("PARTS", parts)):
+        monkeypatch.setattr(leaks, name, value)
     r = random.Random(9)
     items = [" ".join(passage(120, r)) for _ in range(12)]
     docs, want = [], set()
