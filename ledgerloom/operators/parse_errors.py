@@ -5,7 +5,7 @@ characters may insert or delete quotes and delimiters, quote edits weighing more
 edits.  A parse without edits is the record as it stands; otherwise the cheapest edits state the reason:
 ``quoting`` if a quote had to be edited, else ``columns``.  Records that a scan of the grammar accepts with the
 right number of cells cost nothing and skip the program; it runs for the failing ones only, in time and memory
-proportional to the record's length.  Delimiters are inserted only beside a delimiter or at the end and never
+proportional to their quotes and delimiters: runs of other signs are one step, whatever their length.  Delimiters are inserted only beside a delimiter or at the end and never
 make up for a quote, so a quote edit is needed exactly where the grammar itself is broken.
 
 ``field_failures`` checks typed fields of rows that have their cells.
@@ -31,6 +31,7 @@ from ledgerloom.functions.text import present
 
 QUOTE_COST = 1 << 20
 _RECORD = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
+_STEP = re.compile(r'[",]|[^",]+')
 # states of a record being read: at the start of a cell, in a bare cell, in a quoted cell, after its closing quote
 START, BARE, QUOTED, CLOSED = range(4)
 KEEP, DROP, ADD_QUOTE, END_QUOTE, ADD_DELIMITER = "keep", "delete", "insert quote", "insert closing quote", "insert delimiter"
@@ -58,8 +59,7 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
     inf = 1 << 60
     cost = np.full((4, width), inf, np.int64)
     cost[START, 0] = 0
-    # where each best value comes from: previous state * 8 + kind of step, for every position, state and cell
-    trace: list[list[tuple[str, np.ndarray, np.ndarray]]] = []
+    # where each best value comes from is kept as previous state * 8 + kind of step, for every step, state and cell
 
     def relax(to, state, values, source, edit, shift=0):
         """Offer ``values`` (by cell, of ``source``) to ``state``; shift 1 moves to the next cell."""
@@ -82,12 +82,13 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
                 c[START, k + 1] = c[source, k] + 1
                 back[START, k + 1] = source
 
+    # a run of other signs is one step: after its first sign nothing about the states changes any more
     steps = []
-    for ch in line:
-        adds = np.full((4, width), -1, np.int8)
+    for at, ch in ((m.start(), m[0][0]) for m in _STEP.finditer(line)):
+        adds = None
         if ch == ",":
+            adds = np.full((4, width), -1, np.int8)
             insert_delimiters(cost, adds)
-        quote_in = np.full((4, width), -1, np.int8)
         new = empty()
         if ch == '"':
             relax(new, QUOTED, cost[START], START, 0)
@@ -108,7 +109,7 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
             relax(new, BARE, cost[BARE], BARE, 0)
             relax(new, QUOTED, cost[QUOTED], QUOTED, 0)
             relax(new, QUOTED, cost[START] + QUOTE_COST, START, 2)
-        steps.append((adds, new[1]))
+        steps.append((at, adds, new[1]))
         cost = new[0]
     adds = np.full((4, width), -1, np.int8)
     insert_delimiters(cost, adds)
@@ -128,8 +129,7 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
         return state, k
 
     state, k = undo_inserts(adds, len(line), state, k)
-    for position in range(len(line) - 1, -1, -1):
-        adds, back = steps[position]
+    for position, adds, back in reversed(steps):
         source, edit = divmod(int(back[state, k]), 8)
         if edit == 1:
             edits.append((position, DROP))
@@ -139,7 +139,7 @@ def min_cost_parse(line: str, width: int) -> tuple[int, int, list[tuple[int, str
             edits.append((position, END_QUOTE))
         if line[position] == "," and edit in (0, 3) and not (state == QUOTED and source == QUOTED):
             k -= 1
-        state, k = undo_inserts(adds, position, source, k)
+        state, k = undo_inserts(adds, position, source, k) if adds is not None else (source, k)
     return total // QUOTE_COST, total % QUOTE_COST, edits[::-1]
 
 
