@@ -48,7 +48,7 @@ class Rules:
     prior: float = 0.8
     transitivity: float = 0.5
     rho: float = 1.0
-    within: float = 1e-3
+    within: float = 1e-4
     inner: int = 2000
     between: float = 5e-2
     outer: int = 100
@@ -99,29 +99,39 @@ def solve(record: np.ndarray, name: np.ndarray, identifier: np.ndarray, fits: np
     ``start`` are values and multipliers to go on from.
     """
     _, group = np.unique(record, return_inverse=True)
-    n, k = int(group.max()) + 1 if len(group) else 0, len(record)
+    k = len(record)
     z, u = (start[0].copy(), start[1].copy()) if start else (np.full(k, 0.5), np.zeros((COPIES, k)))
-    x, shared = np.zeros((COPIES, k)), z
     up = [(name, rules.name), (identifier, rules.identifier), (fits, rules.place)]
     down = [(1 - misfits, rules.misplace), (np.zeros(k), rules.prior)]
-    i = 0
-    for i in range(1, rules.inner + 1):
-        v = z - u
-        for j, (c, w) in enumerate(up):
-            x[j] = np.where(c > 0, _hinge_up(v[j], c, w / rules.rho), v[j])
-        for j, (c, w) in enumerate(down, len(up)):
-            x[j] = np.where(c < 1, _hinge_down(v[j], c, w / rules.rho), v[j])
-        near, shared = _together(v[5], pull, rules.transitivity / rules.rho)
-        x[5] = np.where(pulled > 0, near, v[5])
-        x[6] = _at_most_one(v[6], group, n)
-        before, z = z, (x + u).mean(0).clip(0, 1)
-        u += x - z
-        if k == 0 or max(np.abs(x - z).max(), np.abs(z - before).max()) < rules.within:
-            break
-    return Solved(z, u, np.where(pulled > 0, shared, z), i)
-
-
-def _whole_records(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    shared, live, i = z.copy(), np.arange(k), 0
+    while len(live) and i < rules.inner:
+        # the records that are not done yet, for some rounds; those whose copies agree are left as they are
+        own, (_, of) = live, np.unique(group[live], return_inverse=True)
+        n, zs, us, q, together = int(of.max()) + 1, z[own], u[:, own], pull[own], pulled[own] > 0
+        ups, downs = [(c[own], w / rules.rho) for c, w in up], [(c[own], w / rules.rho) for c, w in down]
+        x, gap = np.zeros((COPIES, len(own))), np.zeros(len(own))
+        for _ in range(20):
+            i += 1
+            v = zs - us
+            for j, (c, w) in enumerate(ups):
+                x[j] = np.where(c > 0, _hinge_up(v[j], c, w), v[j])
+            for j, (c, w) in enumerate(downs, len(ups)):
+                x[j] = np.where(c < 1, _hinge_down(v[j], c, w), v[j])
+            near, far = _together(v[5], q, rules.transitivity / rules.rho)
+            x[5] = np.where(together, near, v[5])
+            x[6] = _at_most_one(v[6], of, n)
+            before, zs = zs, (x + us).mean(0).clip(0, 1)
+            us = us + x - zs
+            gap = np.maximum(np.abs(x - zs).max(0), np.abs(zs - before))
+            if gap.max() < rules.within:
+                break
+        z[own], u[:, own], shared[own] = zs, us, np.where(together, far, zs)
+        open_ones = np.bincount(of, gap >= rules.within) > 0
+        live = own[open_ones[of]]
+    return Solved(z, u, shared, i)
+
+
+def _whole_records(batches: Iterator[pd.DataFrame], rows: int = 5_000) -> Iterator[pd.DataFrame]:
     """Batches sorted by record, put together so that no record is parted."""
     held, n = [], 0
     for b in batches:
@@ -158,9 +168,11 @@ def match(candidates: DataFrame, rules: Rules = Rules()) -> DataFrame:
             got = solve(b["record"].to_numpy(), num("name"), num("identifier"), num("fits"), num("misfits"), num("pull") - num("u"), num("pulled"), rules, start)
             yield b.assign(x=got.value, shared=got.shared, copies=list(got.multipliers.T))
 
-    done = None
+    done, state = None, materialize(state, "match")
     for i in range(rules.outer):
-        solved = materialize(state.repartition("record").sortWithinPartitions("record").mapInPandas(run, schema), f"match-{i}")
+        # tasks by the number of pairs: the solver's work goes with that, not with bytes
+        tasks = max(1, -(-state.count() // 5_000))
+        solved = materialize(state.repartition(tasks, "record").sortWithinPartitions("record").mapInPandas(run, schema), f"match-{i}")
         mean = solved.where("cluster is not null").groupBy("cluster", "entity").agg(F.avg(F.col("shared") + F.col("u")).alias("mean"), F.count("*").alias("n")).where("n > 1").drop("n")
         joined = solved.join(mean, ["cluster", "entity"], "left")
         several = F.col("mean").isNotNull()
