@@ -199,3 +199,11 @@ v AS (SELECT line_id, {_UNQ.format(c="c[2]")} AS value, {_UNQ.format(c="c[5]")}
 SELECT 'raw_contract_line' AS source_table, line_id AS row_key, CASE WHEN ok THEN 'columns' ELSE 'quoting' END AS reason FROM g WHERE NOT ok OR len(c) <> 15
 UNION ALL SELECT 'raw_contract_line', line_id, reason FROM (SELECT line_id, unnest([{_bad({c: c for c in ("value", "publishdate", "contractstart")})}]) AS reason FROM v) WHERE reason IS NOT NULL
 UNION ALL SELECT 'raw_contract_data', row_id, reason FROM (SELECT row_id, unnest([{_bad({c: c for c in ("value", "publishdate", "contractstart")})}]) AS reason FROM raw_contract_data) WHERE reason IS NOT NULL"""
+_LINES = rf"""l AS (SELECT line_id, regexp_replace(coalesce(line, ''), '\r?\n?$', '') AS line FROM raw_contract_line),
+g AS (SELECT line_id, regexp_extract_all(',' || line, ',{_CELL}', 1) AS c FROM l WHERE regexp_full_match(line, '{_CELL}(,{_CELL})*'))"""
+_AT = {c: _UNQ.format(c=f"c[{i}]") for i, c in enumerate(CONTRACT_COLUMNS, 1)}
+ORACLE["p6_loaded"] = rf"""WITH {_LINES},
+u AS (SELECT line_id, {", ".join(f"{_AT[c]} AS {c}" for c in ("agencyname", "value", "publishdate", "contractstart", "cnid"))} FROM g WHERE len(c) = 15),
+r AS (SELECT line_id, {_present("agencyname")} AS agencyname, {_present("value")} AS v, {_present("publishdate")} AS p, {_present("contractstart")} AS s, {_present("cnid")} AS k FROM u)
+SELECT line_id, agencyname, try_cast(try_cast(v AS decimal(38,6)) AS decimal(18,2)) AS value, try_cast(p AS date) AS publishdate, try_cast(s AS date) AS contractstart, {_KEY} AS cnid
+FROM r WHERE {_NUM.format(v="v")} AND {_CAL.format(v="p")} AND {_CAL.format(v="s")}"""
