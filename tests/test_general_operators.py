@@ -125,7 +125,7 @@ def test_snapshot_diff(spark):
     assert snapshot_diff(df.limit(0), "cnid", "delivery", ["v"]).collect() == []
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["d1", "d2", "d3"]), st.sampled_from("kmn"), st.sampled_from(["a", "b", None])), max_size=14))
 def test_snapshot_diff_equals_brute_force(spark, rows):
     days = sorted({r[0] for r in rows})
