@@ -30,3 +30,18 @@ def test_columns_and_keys(spark):
     assert dict(queries.p9_found(spark, DATA).dtypes) == {"doc_id": "bigint", "item_id": "bigint"}
     langs = queries.p10_found(spark, DATA)
     assert dict(langs.dtypes) == {"doc_id": "bigint", "lang": "string"} and langs.distinct().count() == langs.count()
+
+
+def test_identifiers_cut_at_one_end_or_with_one_slip(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm.queries import _by_identifier, _one_edit_away
+
+    away = set(spark.createDataFrame([("102",)], "n string").select(_one_edit_away(F.col("n"))).first()[0])
+    assert away == {a + b + c for a in "0123456789" for b in "0123456789" for c in "0123456789" if sum(x != y for x, y in zip(a + b + c, "102")) == 1} | {"012", "120"}
+    entities = spark.createDataFrame([("12345678901",), ("12345699999",), ("98765432109",)], "entity string")
+    stated = [("cut", "345678901"), ("both", "123456"), ("digit", "12345678911"), ("swap", "12345687901"), ("known", "98765432109"), ("two", "12355678911"), ("short", "12345"), (None, "345678901")]
+    rows = spark.createDataFrame(stated, "record string, stated string").where("record is not null")
+    got = {(r.record, r.entity): round(r.identifier, 3) for r in _by_identifier(rows, entities).collect()}
+    assert got == {("cut", "12345678901"): 0.9, ("both", "12345678901"): 0.3, ("both", "12345699999"): 0.3, ("digit", "12345678901"): 0.9, ("swap", "12345678901"): 0.9}
+    assert _by_identifier(rows.limit(0), entities).collect() == []
